@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import simhash_dedup, token_counts
+from plumbline.llm import decontaminate, line_dedup, simhash_dedup, token_counts
 from plumbline.llm.common import table
 
 
@@ -27,10 +27,21 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.deduplicate_lines(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_simhash_dedup": op2_simhash_dedup,
+    "op7_decontaminate": op7_decontaminate,
+    "op9_line_dedup": op9_line_dedup,
 }
 
 #: DuckDB SQL where SQL can express the query.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op7_decontaminate": decontaminate.ORACLE}
