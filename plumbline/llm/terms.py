@@ -19,13 +19,19 @@ _powers = np.ones(1, np.uint64)
 _inverses = np.ones(1, np.uint64)
 
 
+def _powers_of(base: np.uint64, n: int) -> np.ndarray:
+    factors = np.full(n, base, np.uint64)
+    factors[0] = 1
+    return np.cumprod(factors, dtype=np.uint64)
+
+
 def _grow(n: int) -> None:
     global _powers, _inverses
     if len(_powers) < n:
         size = max(n, 1 << 20)
         with np.errstate(over="ignore"):
-            _powers = np.cumprod(np.concatenate(([1], np.full(size - 1, _BASE))).astype(np.uint64))
-            _inverses = np.cumprod(np.concatenate(([1], np.full(size - 1, _INVERSE))).astype(np.uint64))
+            _powers = _powers_of(_BASE, size)
+            _inverses = _powers_of(_INVERSE, size)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
