@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from plumbline.plans import catalog_graph  # noqa: F401  registers its queries
+from plumbline.plans.base import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
