@@ -77,6 +77,15 @@ def _sweep() -> None:
             return
 
 
+#: A table is only broadcast when it was counted and has at most this many rows.
+BROADCAST_ROWS = 500_000
+
+
+def checked(df: DataFrame) -> DataFrame:
+    """``df`` to be broadcast if it was counted to be small, else to be shuffled."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def row_key(*cols: str) -> Column:
     """One long that stands for a row's content, null-safe."""
     parts = []

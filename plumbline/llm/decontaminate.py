@@ -24,12 +24,10 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import materialise, row_key
+from plumbline.llm.common import checked, materialise, row_key
 
 WINDOW = 13
 SHINGLE = 5
-#: A table is only broadcast when it was counted and has at most this many rows.
-BROADCAST_ROWS = 500_000
 
 _GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -51,10 +49,6 @@ def _folded_words(text: Column) -> Column:
     return F.array_remove(F.split(lowered, _GAPS), "")
 
 
-def _checked(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def _windows(items: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
     """``item_id, window (words), folded, n`` for each distinct window."""
     words = items.select(
@@ -117,7 +111,7 @@ def contamination(
         mark = F.array(F.size("f").cast("long")) if k == 0 else F.array(F.lit(0).cast("long"))
         spread = words.select("doc_id", "key", F.posexplode(F.concat(mark, _shingle_hashes(F.col("f"), size))).alias("at", "value"))
         known = tokens.where(F.col("size") == size).select(F.col("shingle").alias("known")).distinct()
-        part = spread.join(_checked(known), (F.col("value") == F.col("known")) & (F.col("at") > 0), "left")
+        part = spread.join(checked(known), (F.col("value") == F.col("known")) & (F.col("at") > 0), "left")
         part = part.where(F.col("known").isNotNull() | ((F.col("at") == 0) & F.lit(k == 0)))
         part = part.select("doc_id", "key", F.lit(size).alias("size"), "at", "value")
         found = part if found is None else found.unionByName(part)
@@ -136,10 +130,10 @@ def contamination(
     proposed = _propose(hits, prefixes)
     keys = materialise(proposed.select("key").distinct())
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.withColumn("key", row_key("doc_id", "text")).join(_checked(keys), "key", "left_semi")
+    texts = texts.withColumn("key", row_key("doc_id", "text")).join(checked(keys), "key", "left_semi")
     texts = texts.dropDuplicates(["key"]).select("key", exact_words(F.col("text")).alias("w"))
     # a window id stands for its words: compare them, and only them
-    checked = (
+    matched = (
         proposed.join(texts, "key")
         .where(F.col("start") + F.col("n") <= F.size("w"))
         .select("key", "start", "n", "window_id", F.slice("w", F.col("start") + 1, F.col("n")).alias("window"))
@@ -147,9 +141,9 @@ def contamination(
         .select("key", "start", "n", "item_id")
         .distinct()
     )
-    checked = materialise(checked)
+    matched = materialise(matched)
 
-    covered = checked.select("key", "start", (F.col("start") + F.col("n")).alias("end")).distinct()
+    covered = matched.select("key", "start", (F.col("start") + F.col("n")).alias("end")).distinct()
     covered.createOrReplaceTempView("__plumbline_covered")
     hit = docs.sparkSession.sql(
         """
@@ -159,7 +153,7 @@ def contamination(
         GROUP BY key
         """
     )
-    named = checked.groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
+    named = matched.groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
     out = base.join(hit, "key", "left").join(named, "key", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     ids = F.coalesce("ids", F.array().cast("array<string>"))
@@ -175,7 +169,7 @@ def contamination(
 
 def _propose(hits: DataFrame, prefixes: DataFrame) -> DataFrame:
     rare = materialise(prefixes.select("window_id", "n", F.col("size").alias("of_size"), "shingle", "offset"))
-    joined = hits.join(_checked(rare), (F.col("size") == F.col("of_size")) & (F.col("value") == F.col("shingle")))
+    joined = hits.join(checked(rare), (F.col("size") == F.col("of_size")) & (F.col("value") == F.col("shingle")))
     return materialise(
         joined.select("key", (F.col("at") - 1 - F.col("offset")).alias("start"), "window_id", "n").where("start >= 0").distinct()
     )
@@ -184,7 +178,7 @@ def _propose(hits: DataFrame, prefixes: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, all columns."""
     bad = contamination(docs, items).where("contaminated").select(F.col("doc_id").alias("__bad_id")).distinct()
-    return docs.join(_checked(materialise(bad)), docs["doc_id"].eqNullSafe(F.col("__bad_id")), "left_anti")
+    return docs.join(checked(materialise(bad)), docs["doc_id"].eqNullSafe(F.col("__bad_id")), "left_anti")
 
 
 #: The same result in DuckDB SQL.
