@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import materialise
+from plumbline.llm.common import checked, materialise
 
 ORDER = 5
 SMOOTHING = 0.05
@@ -60,7 +60,7 @@ def counts(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
                 g = ngrams(b.column(0)[i].as_py(), order)
                 parts[bool(marks[i])].append(g)
                 size += len(g)
-                if size < 8_000_000 and i < n - 1:
+                if size < 4_000_000 and i < n - 1:
                     continue
                 good = np.concatenate(parts[True]) if parts[True] else np.empty(0, np.int64)
                 rest = np.concatenate(parts[False]) if parts[False] else np.empty(0, np.int64)
@@ -74,7 +74,8 @@ def counts(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
 
     good = target.select(F.col("__id"), F.lit(True).alias("__good")).where(F.col("__id").isNotNull()).dropDuplicates(["__id"])
     keyed = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
-    marked = keyed.join(good, "__id", "left").select("__text", "__good")
+    # texts stay where they are while the ids of the target are few
+    marked = keyed.join(checked(good), "__id", "left").select("__text", "__good")
     return marked.mapInArrow(run, "gram long, n_target long, n_background long").groupBy("gram").agg(F.sum("n_target").alias("n_target"), F.sum("n_background").alias("n_background"))
 
 
