@@ -25,15 +25,16 @@ from pyspark.sql import functions as F
 from plumbline.llm.terms import words_of
 from plumbline.llm.toxicity import sample
 
-SLOTS = 4_096
-SHAPES = 8
-MAX_ROWS = 8_000
+SLOTS = 1_024
+SHAPES = 12
+MAX_ROWS = 6_000
 
 
 def features_of(text: str | None) -> np.ndarray:
     """``SLOTS`` signed word shares of unit length, then ``SHAPES`` shape shares."""
     raw = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
-    words = np.concatenate(words_of(text, (4,)))
+    own, starts = words_of(text, (4,))
+    words = np.concatenate((own, starts))
     out = np.zeros(SLOTS + SHAPES)
     if len(words):
         sign = np.where(words >> np.uint64(63), 1.0, -1.0)
@@ -42,7 +43,9 @@ def features_of(text: str | None) -> np.ndarray:
         out[:SLOTS] = slots / norm if norm else slots
     if len(raw):
         kinds = np.bincount(raw, minlength=256) / len(raw)
-        n_words = max(1, len(words_of(text)[0]))
+        n_words = max(1, len(own))
+        pairs = own[:-1] * np.uint64(0x9E3779B97F4A7C15) + own[1:] if len(own) > 1 else own
+        _, again = np.unique(own, return_counts=True)
         out[SLOTS:] = [
             kinds[0x41:0x5B].sum(),
             kinds[0x30:0x3A].sum(),
@@ -50,7 +53,11 @@ def features_of(text: str | None) -> np.ndarray:
             kinds[[0x0A, 0x0D, 0x09]].sum() * 10,
             kinds[0x80:].sum(),
             min(1.0, len(raw) / n_words / 20),
-            len(np.unique(words)) / max(1, len(words)),
+            len(np.unique(own)) / n_words,
+            1 - len(np.unique(pairs)) / max(1, len(pairs)),
+            again.max() / n_words if len(again) else 0.0,
+            kinds[0x7C] * 10,
+            kinds[[0x23, 0x24, 0x25, 0x26, 0x2A, 0x2B, 0x3C, 0x3D, 0x3E, 0x40, 0x5E, 0x7E]].sum() * 10,
             min(1.0, np.log1p(n_words) / 10),
         ]
     return out
