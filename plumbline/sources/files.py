@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.sources.extractors import CLAIMS
 from plumbline.sources.lockfiles import READERS
+from plumbline.sources.toolbox import lookup
 
 #: Folders of dependencies, builds and caches, never scanned.
 SKIPPED_FOLDERS = (
@@ -15,36 +18,50 @@ SKIPPED_FOLDERS = (
 )
 
 
-def wanted(path, tools: bool = True):
-    """A column that says whether any reader claims the path."""
-    skipped = r"(^|/)(" + "|".join(f.replace(".", r"\.") for f in SKIPPED_FOLDERS) + r")/"
-    claimed = F.lit(tools)
-    for pattern in [*CLAIMS.values(), *[p for p, _ in READERS.values()]]:
-        claimed = claimed | path.rlike(pattern)
-    return ~path.rlike(skipped) & claimed
+def wanted(path: str) -> bool:
+    """Whether an extractor, a lockfile reader or the tool catalogue claims a path."""
+    patterns = [*CLAIMS.values(), *[p for p, _ in READERS.values()]]
+    return any(re.search(p, path) for p in patterns) or lookup(path) is not None
+
+
+def _listing(spark: SparkSession, root: str, largest: int) -> tuple[object, list[tuple[str, str]]]:
+    """Claimed files below a folder as (path, path inside it). Spark's own listing
+    passes over hidden names, which most build files have."""
+    start = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = start.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, todo = [], [(start, "")]
+    while todo:
+        folder, inside = todo.pop()
+        for status in system.listStatus(folder):
+            name = status.getPath().getName()
+            if status.isDirectory():
+                if name not in SKIPPED_FOLDERS:
+                    todo.append((status.getPath(), f"{inside}{name}/"))
+            elif status.isFile() and status.getLen() <= largest and wanted(inside + name):
+                found.append((status.getPath().toString(), inside + name))
+    return system, sorted(found, key=lambda x: x[1])
 
 
 def scan(spark: SparkSession, root: str, run_id: str | None = None, largest: int = 32 << 20) -> DataFrame:
     """``path, content`` of the claimed files below a folder, relative to it.
 
-    A path filter does not stop Spark from reading contents, so paths are listed
-    first and only claimed files are opened; the length predicate is pushed down.
+    Names come first and only claimed files are opened, by the executors. Files
+    whose own name is hidden are few and small, and are read by the driver.
     """
-    every = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    inner = F.regexp_replace("path", r"^.*?" + _literal(root.rstrip("/")) + "/", "")
-    listed = every.where(F.col("length") <= largest).select("path", inner.alias("inner")).where(wanted(F.col("inner")))
-    paths = [r["path"] for r in listed.toLocalIterator()]  # names of one repository's manifests
-    if not paths:
-        rows = spark.createDataFrame([], "path string, content binary")
-    else:
-        rows = spark.read.format("binaryFile").load(paths).select(inner.alias("path"), "content")
-    return rows.withColumn("run_id", F.lit(run_id)) if run_id is not None else rows
-
-
-def _literal(text: str) -> str:
-    import re
-
-    return re.escape(text.removeprefix("file:"))
+    system, found = _listing(spark, root, largest)
+    plain = [(p, i) for p, i in found if not i.rpartition("/")[2].startswith((".", "_"))]
+    hidden = [(p, i) for p, i in found if i.rpartition("/")[2].startswith((".", "_"))]
+    jvm, rows = spark._jvm, []
+    for path, inside in hidden:
+        stream = system.open(jvm.org.apache.hadoop.fs.Path(path))
+        rows.append((inside, bytearray(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))))
+        stream.close()
+    out = spark.createDataFrame(rows, "path string, content binary")
+    if plain:
+        names = spark.createDataFrame(plain, "path string, inside string")
+        read = spark.read.format("binaryFile").load([p for p, _ in plain]).select("path", "content")
+        out = out.unionByName(read.join(F.broadcast(names), "path").select(F.col("inside").alias("path"), "content"))
+    return out.withColumn("run_id", F.lit(run_id)) if run_id is not None else out
 
 
 def static(spark: SparkSession, files: dict[str, str | bytes], run_id: str | None = None) -> DataFrame:
