@@ -75,7 +75,7 @@ def components(nodes: DataFrame, facts: DataFrame | None = None) -> DataFrame:
         rows = rows.join(facts.select(F.col("node_id").alias("id"), "licenses"), "id", "left")
     else:
         rows = rows.withColumn("licenses", F.lit(None).cast("array<string>"))
-    slots = F.array_compact(F.transform(F.coalesce("licenses", F.array().cast("array<string>")), licence_slot))
+    slots = F.array_compact(F.transform(F.coalesce("licenses", F.array().cast("array<string>")), lambda x: licence_slot(x)))
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     frontier = (text("reason") != "") & F.col("completeness").isin("declared", "opaque")
     supplier = F.when(F.col("id").startswith("pkg:github/"), F.split_part(text("name"), F.lit("/"), F.lit(1)))
