@@ -137,6 +137,7 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, max_rows: int, ex
         if id_ not in ids:
             ids.add(id_)
             kept.append(i)
+    kept = pa.array(kept, pa.int64())
     terms = got.column("terms").take(kept)
     return [np.asarray(t.values, np.int64).view(np.uint64) for t in terms], np.asarray(got.column("label").take(kept))
 
