@@ -10,9 +10,9 @@ How many leaves are visited is calibrated, not guessed: for up to
 ``CALIBRATION`` queries the exact neighbours over all rows are found by one
 scan, and visits widen until their mean recall reaches ``RECALL``.
 
-The search is a join on leaves. Leaves larger than ``CELL`` rows, and leaves
-with more than ``CELL`` queries, are cut into slices whose pairs are cells of
-their own, so a leaf that holds a third of all rows is spread over tasks. In a
+The search is a join on groups of leaves of about ``CELL`` rows. A larger leaf,
+and queries beyond a bound, are cut into slices whose pairs are cells of their
+own, so a leaf that holds a third of all rows is spread over tasks. In a
 cell all but the ``k + 1`` smallest ids of equal vectors are set aside before
 comparing, which cannot change any result: they tie exactly.
 """
@@ -202,29 +202,61 @@ def nearest(
     # one row for each leaf, so bounded like the tree
     sizes = indexed.groupBy("leaf").agg(F.count(F.lit(1)).alias("nv"))
     wants = asked.groupBy("leaf").agg(F.count(F.lit(1)).alias("nq"))
-    plan = sizes.join(wants, "leaf").select("leaf", F.ceil(F.col("nv") / CELL).cast("int").alias("sv"), F.ceil(F.col("nq") / CELL).cast("int").alias("sq"))
-    plan = F.broadcast(materialise(plan))
+    dealt = _groups(sizes.join(wants, "leaf").orderBy("leaf").collect())
+    plan = lambda: F.broadcast(spark.createDataFrame(dealt, "leaf int, grp int, sv int, sq int"))
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    left = asked.join(plan, "leaf").select(
-        "leaf", F.explode(upto("sv")).alias("cv"), F.pmod(F.xxhash64("query_id"), F.col("sq")).cast("int").alias("cq"), "query_id", "q"
+    left = asked.join(plan(), "leaf").select(
+        "grp", F.explode(upto("sv")).alias("cv"), F.pmod(F.xxhash64("query_id"), F.col("sq")).cast("int").alias("cq"), "leaf", "query_id", "q"
     )
-    right = indexed.join(plan, "leaf").select(
-        "leaf", F.pmod(F.xxhash64("vec_id"), F.col("sv")).cast("int").alias("cv"), F.explode(upto("sq")).alias("cq"), "vec_id", "v"
+    right = indexed.join(plan(), "leaf").select(
+        "grp", F.pmod(F.xxhash64("vec_id"), F.col("sv")).cast("int").alias("cv"), F.explode(upto("sq")).alias("cq"), "leaf", "vec_id", "v"
     )
 
     def compare(q: pa.Table, v: pa.Table) -> pa.Table:
-        if not q.num_rows or not v.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        q_ids = q.column("query_id").to_numpy()
-        rows, ids, scores = top(_matrix(q.column("q"), dim), q_ids, _matrix(v.column("v"), dim), v.column("vec_id").to_numpy(), k)
-        return pa.table({"query_id": q_ids[rows], "vec_id": ids, "score": scores})
-
-    keys = ("leaf", "cv", "cq")
+        found: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        if q.num_rows and v.num_rows:
+            q_leaf, v_leaf = q.column("leaf").to_numpy(), v.column("leaf").to_numpy()
+            q_ids, v_ids = q.column("query_id").to_numpy(), v.column("vec_id").to_numpy()
+            qm, vm = _matrix(q.column("q"), dim), _matrix(v.column("v"), dim)
+            for leaf in np.unique(q_leaf):
+                a, b = np.flatnonzero(q_leaf == leaf), np.flatnonzero(v_leaf == leaf)
+                rows, ids, scores = top(qm[a], q_ids[a], vm[b], v_ids[b], k)
+                found.append((q_ids[a][rows], ids, scores))
+        queries_, ids, scores = (np.concatenate(x) for x in zip(*found))
+        # of all leaves of the cell a query needs its k best
+        order = np.lexsort((ids, -scores, queries_))
+        queries_, ids, scores = queries_[order], ids[order], scores[order]
+        kept = np.arange(len(order)) - np.searchsorted(queries_, queries_) < k
+        return pa.table({"query_id": queries_[kept], "vec_id": ids[kept], "score": scores[kept]})
+
+    keys = ("grp", "cv", "cq")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _groups(leaves: list) -> list[tuple[int, int, int, int]]:
+    """``leaf, grp, sv, sq``: small leaves share a group of about ``CELL`` rows,
+    so that a query emits its best once for all of them; a large leaf is alone in
+    its group, in ``sv`` slices. ``sq`` slices keep a cell's queries bounded."""
+    out, grp, members, rows, asked = [], 0, [], 0, 0
+
+    def close():
+        nonlocal grp, members, rows, asked
+        if members:
+            sv, sq = max(1, -(-rows // CELL)) if len(members) == 1 else 1, max(1, -(-asked // (16 * CELL)))
+            out.extend((leaf, grp, sv, sq) for leaf in members)
+            grp, members, rows, asked = grp + 1, [], 0, 0
+
+    for r in leaves:
+        if members and rows + r["nv"] > CELL:
+            close()
+        members.append(r["leaf"])
+        rows, asked = rows + r["nv"], asked + r["nq"]
+    close()
+    return out
+
+
 def exact_nearest(indexed: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int, extra: tuple[str, ...] = ()) -> DataFrame:
     """Exact neighbours of a bounded set of query vectors by one scan."""
     dim = vectors.shape[1]
