@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.terms import words_of
 
 PREFIX = 4
-MAX_ROWS = 12_000
+MAX_ROWS = 8_000
 MAX_TERMS = 8_192
 THRESHOLD = 0.3
 
@@ -61,10 +61,10 @@ def _informative(rows: list[np.ndarray], labels: np.ndarray, most: int, least_ro
     """The terms with the largest likelihood-ratio statistic against the label,
     if it stands out among so many terms: ``strictness`` times the logarithm of
     their number."""
-    flat = np.concatenate(rows) if rows else np.empty(0, np.uint64)
-    y = np.repeat(labels, [len(r) for r in rows])
-    terms, inverse, df = np.unique(flat, return_inverse=True, return_counts=True)
-    pos = np.bincount(inverse, weights=y, minlength=len(terms))
+    terms, df = np.unique(np.concatenate(rows), return_counts=True)
+    found, n_found = np.unique(np.concatenate([r for r, y in zip(rows, labels) if y]), return_counts=True)
+    pos = np.zeros(len(terms))
+    pos[np.searchsorted(terms, found)] = n_found
     n, n1 = len(labels), labels.sum()
 
     def part(observed, expected):
