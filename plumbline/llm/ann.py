@@ -35,6 +35,8 @@ SAMPLE_ROWS = 20_000
 CALIBRATION = 128
 RECALL = 0.97
 CELL = 4_096
+#: Queries compared at a time.
+BLOCK = 512
 BRANCHES = 8
 LEAF_ROWS = 100
 
@@ -116,34 +118,35 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def top(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, v_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def top(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, v_ids: np.ndarray, k: int, allowed: np.ndarray | None = None, v_part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per query the ``k`` largest inner products, ties to smaller ids, own id
-    left out: query row numbers, ids, scores. Scores are summed the same way
-    for every pair, so equal vectors tie exactly."""
+    left out: query row numbers, ids, scores. ``allowed[i, p]`` says whether
+    query ``i`` may see rows of part ``p``. Scores are summed the same way for
+    every pair, so equal vectors tie exactly; memory is bounded by a block."""
     order = np.argsort(v_ids, kind="stable")
     v, v_ids = v[order], v_ids[order]
     _, group = np.unique(v, axis=0, return_inverse=True)
     group = group.ravel()
     by = np.argsort(group, kind="stable")
     rank = np.arange(len(by)) - np.searchsorted(group[by], group[by])
-    v, v_ids = v[np.sort(by[rank <= k])], v_ids[np.sort(by[rank <= k])]
-    rows, ids, scores = [], [], []
-    rough = q @ v.T
-    for i in range(len(q)):
-        r = rough[i]
-        if len(r) > k + 1:
-            edge = np.partition(r, len(r) - k - 1)[len(r) - k - 1]
-            near = np.flatnonzero(r >= edge - 1e-9 * max(1.0, abs(edge)))
-        else:
-            near = np.arange(len(r))
-        near = near[v_ids[near] != q_ids[i]]
-        exact = (v[near] * q[i]).sum(axis=1)
-        best = np.lexsort((v_ids[near], -exact))[:k]
-        rows.append(np.full(len(best), i))
-        ids.append(v_ids[near][best])
-        scores.append(exact[best])
-    cat = lambda p, t: np.concatenate(p) if p else np.empty(0, t)
-    return cat(rows, np.int64), cat(ids, np.int64), cat(scores, np.float64)
+    kept = np.sort(by[rank <= k])
+    v, v_ids = v[kept], v_ids[kept]
+    part = v_part[order][kept] if v_part is not None else None
+    rows, ids, scores = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+    for at in range(0, len(q), BLOCK):
+        rough = q[at : at + BLOCK] @ v.T
+        if allowed is not None:
+            rough[~allowed[at : at + BLOCK][:, part]] = -np.inf
+        for i, r in enumerate(rough, at):
+            edge = np.partition(r, len(r) - k - 1)[len(r) - k - 1] if len(r) > k + 1 else -np.inf
+            near = np.flatnonzero((r >= edge - 1e-9 * max(1.0, abs(edge))) & (r > -np.inf)) if edge > -np.inf else np.flatnonzero(r > -np.inf)
+            near = near[v_ids[near] != q_ids[i]]
+            exact = (v[near] * q[i]).sum(axis=1)
+            best = np.lexsort((v_ids[near], -exact))[:k]
+            rows.append(np.full(len(best), i))
+            ids.append(v_ids[near][best])
+            scores.append(exact[best])
+    return np.concatenate(rows), np.concatenate(ids), np.concatenate(scores)
 
 
 def clean_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -213,21 +216,19 @@ def nearest(
     )
 
     def compare(q: pa.Table, v: pa.Table) -> pa.Table:
-        found: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
-        if q.num_rows and v.num_rows:
-            q_leaf, v_leaf = q.column("leaf").to_numpy(), v.column("leaf").to_numpy()
-            q_ids, v_ids = q.column("query_id").to_numpy(), v.column("vec_id").to_numpy()
-            qm, vm = _matrix(q.column("q"), dim), _matrix(v.column("v"), dim)
-            for leaf in np.unique(q_leaf):
-                a, b = np.flatnonzero(q_leaf == leaf), np.flatnonzero(v_leaf == leaf)
-                rows, ids, scores = top(qm[a], q_ids[a], vm[b], v_ids[b], k)
-                found.append((q_ids[a][rows], ids, scores))
-        queries_, ids, scores = (np.concatenate(x) for x in zip(*found))
-        # of all leaves of the cell a query needs its k best
-        order = np.lexsort((ids, -scores, queries_))
-        queries_, ids, scores = queries_[order], ids[order], scores[order]
-        kept = np.arange(len(order)) - np.searchsorted(queries_, queries_) < k
-        return pa.table({"query_id": queries_[kept], "vec_id": ids[kept], "score": scores[kept]})
+        if not q.num_rows or not v.num_rows:
+            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        leaves, v_part = np.unique(v.column("leaf").to_numpy(), return_inverse=True)
+        # one row for each query, and which of the cell's leaves it visits
+        asks = np.column_stack((q.column("query_id").to_numpy()[:, None].view(np.uint64), _matrix(q.column("q"), dim).view(np.uint64)))
+        asks, row = np.unique(asks, axis=0, return_inverse=True)
+        q_ids, qm = asks[:, 0].copy().view(np.int64), np.ascontiguousarray(asks[:, 1:]).view(np.float64)
+        allowed = np.zeros((len(asks), len(leaves)), bool)
+        q_leaf = q.column("leaf").to_numpy()
+        here = np.isin(q_leaf, leaves)
+        allowed[row.ravel()[here], np.searchsorted(leaves, q_leaf[here])] = True
+        rows, ids, scores = top(qm, q_ids, _matrix(v.column("v"), dim), v.column("vec_id").to_numpy(), k, allowed, v_part)
+        return pa.table({"query_id": q_ids[rows], "vec_id": ids, "score": scores})
 
     keys = ("grp", "cv", "cq")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "query_id long, vec_id long, score double")
