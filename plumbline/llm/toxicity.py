@@ -176,8 +176,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     """The rows of ``docs`` that score below the threshold, all columns."""
     model = train(docs, labels)
 
-    @F.pandas_udf("double")
-    def scored(texts):
-        return texts.map(model.score)
+    def score_all(texts: pa.Array) -> pa.Array:
+        return pa.array([model.score(t.as_py()) for t in texts], pa.float64())
+
+    scored = F.arrow_udf(score_all, "double")
 
     return docs.where(scored(F.col("text").cast("string")) < threshold)
