@@ -401,3 +401,11 @@ def test_line_dedup_against_brute_force(spark, monkeypatch):
         assert len(got) == len(docs)
         assert {r["doc_id"]: r["text"] for r in got} == want | {100: None}
     assert line_dedup.deduplicate_lines(frame(spark, [])).count() == 0
+
+
+def test_lines_equal_but_for_punctuation_and_blanks(spark):
+    line = "All rights reserved by us"
+    odd = [line + ".", line + "\r", line.replace(" ", "\t", 1), line.replace(" ", "  "), f" {line} ", line.upper() + "!", "«All» rights, reserved: by us"]
+    rows = [(0, line), *[(i, x) for i, x in enumerate(odd, 1)], (90, f"{line}\r\n...\r\n{line}\r"), (91, "All rights reserved by them all")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicate_lines(frame(spark, rows)).collect()}
+    assert got == {0: line, **{i: "" for i in range(1, len(odd) + 1)}, 90: "...\r", 91: "All rights reserved by them all"}
