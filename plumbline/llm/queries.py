@@ -11,14 +11,8 @@ from plumbline.llm import ann, decontaminate, line_dedup, lm_score, packing, pre
 from plumbline.llm.common import table
 
 
-def _tokenizer(name: str) -> str:
-    import public_tokenizers
-
-    return str(public_tokenizers.path(name))
-
-
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = token_counts.prefix_table(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), limit=1024)
+    counted = token_counts.prefix_table(table(spark, sf_dir, "documents"), token_counts.public_tokenizer(), limit=1024)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"), "cut_chars")
 
 
@@ -40,7 +34,8 @@ def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), "doc_id", packing.word_count(F.col("text")))
+    counted = token_counts.count_table(table(spark, sf_dir, "documents"), token_counts.public_tokenizer())
+    return packing.pack(counted, "doc_id", F.col("n_tokens"))
 
 
 def op6_preference(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,6 +44,22 @@ def _byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class _Totals(dict):
+    """Tokens of a pre-token; recent ones are kept."""
+
+    def __init__(self, piece_counts):
+        super().__init__()
+        self._piece_counts = piece_counts
+
+    def __missing__(self, piece: str) -> int:
+        n = self._piece_counts(piece.encode())[-1]
+        if len(self) >= UNITS_KEPT:
+            self.clear()
+        if len(piece) <= 64:
+            self[piece] = n
+        return n
+
+
 class PrefixCounter:
     """Counts for a byte-level BPE vocabulary (``tokenizers`` JSON)."""
 
@@ -67,6 +83,7 @@ class PrefixCounter:
         self._compatible: dict[tuple[bytes, bytes], bool] = {}
         self._whole: dict[bytes, bool] = {}
         self._steps: dict[str, bytes] = {}
+        self._totals = _Totals(self.piece_counts)
 
     def _merge(self, piece: bytes) -> list[bytes]:
         parts = [piece[i : i + 1] for i in range(len(piece))]
@@ -182,6 +199,12 @@ class PrefixCounter:
                 out.append(np.diff(np.array([*marks, total])).astype(np.int8).tobytes())
         return b"".join(out)
 
+    def total(self, text: str) -> int:
+        """Tokens of the whole text, without its prefix table."""
+        if self._split is None or not any(s in text for s in self.special):
+            return sum(map(self._totals.__getitem__, self._pattern.findall(text)))
+        return sum(1 if i % 2 else self.total(part) for i, part in enumerate(self._split.split(text)))
+
     def count(self, text: str) -> int:
         return int(np.frombuffer(self.steps(text), np.int8).sum(dtype=np.int64))
 
@@ -227,6 +250,25 @@ def prefix_table(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     )
 
 
+def count_table(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id``, ``n_tokens`` for every row: the counts of prefix_table()
+    where no prefix is asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = counter(tokenizer)
+        for batch in batches:
+            totals = [own.total(t.as_py() or "") for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int64())], names=["doc_id", "n_tokens"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long")
+
+
+def public_tokenizer(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def prefix_counts(steps: bytes) -> np.ndarray:
     """Token count of every character prefix, from a row's ``steps``."""
     return np.frombuffer(steps, np.int8).cumsum(dtype=np.int64)

@@ -273,6 +273,23 @@ def test_packing_keeps_every_token_within_budget(spark, monkeypatch):
     assert packing.pack(frame(spark, []), "doc_id", packing.word_count(F.col("text"))).count() == 0
 
 
+def test_packing_query_counts_tokens(spark, tokenizer, tmp_path):
+    from tokenizers import Tokenizer
+
+    from plumbline.llm import queries
+
+    rng = random.Random(13)
+    rows = [(1, "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABC0123456789+/") for _ in range(20_000))), (2, "日本語の文章です" * 40), (3, None), (4, "It's  a\n\ntest <|endoftext|> x"), (5, "a b c")]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op5_packing(spark, str(tmp_path)).collect()
+    per = collections.Counter()
+    for r in got:
+        per[r["doc_id"]] += r["n_tokens"]
+    lib = Tokenizer.from_file(tokenizer)
+    assert per == {i: len(lib.encode(t or "", add_special_tokens=False).ids) for i, t in rows}
+    assert max(r["n_tokens"] for r in got) == packing.MAX_LEN and sum(r["doc_id"] == 1 for r in got) > 1  # no blank, yet cut
+
+
 # --- 6 preferences --------------------------------------------------------------
 
 
