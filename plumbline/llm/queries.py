@@ -53,7 +53,7 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = line_dedup.deduplicate_lines(table(spark, sf_dir, "documents"))
+    done = line_dedup.deduplicate_lines(table(spark, sf_dir, "documents"), bits=None)
     return done.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), "text")
 
 

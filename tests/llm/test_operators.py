@@ -426,3 +426,22 @@ def test_lines_equal_but_for_punctuation_and_blanks(spark):
     rows = [(0, line), *[(i, x) for i, x in enumerate(odd, 1)], (90, f"{line}\r\n...\r\n{line}\r"), (91, "All rights reserved by them all")]
     got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicate_lines(frame(spark, rows)).collect()}
     assert got == {0: line, **{i: "" for i in range(1, len(odd) + 1)}, 90: "...\r", 91: "All rights reserved by them all"}
+
+
+@pytest.mark.parametrize("n", [5, 8, 10, 16, 20, 30, 50, 90])
+def test_changed_words_are_found_at_every_length(spark, n):
+    rng = random.Random(n)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    lines, copies = [], 0
+    for _ in range(20):
+        line = [word() for _ in range(n)]
+        lines.append(" ".join(line))
+        for changed in {1, n // 8, n // 5}:  # an edit similarity of 0.8 or more
+            if changed:
+                parts = list(line)
+                for at in rng.sample(range(n), changed):
+                    parts[at] = word()
+                lines.append(" ".join(parts))
+                copies += 1
+    got = line_dedup.deduplicate_lines(frame(spark, [(1, "\n".join(lines))]), bits=None).first()
+    assert got["__n_removed"] == copies and got["text"].split("\n") == [x for i, x in enumerate(lines) if i % (len(lines) // 20) == 0]
