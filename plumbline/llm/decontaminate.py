@@ -176,9 +176,11 @@ def _propose(hits: DataFrame, prefixes: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, all columns."""
-    bad = contamination(docs, items).where("contaminated").select(F.col("doc_id").alias("__bad_id")).distinct()
-    return docs.join(checked(materialise(bad)), docs["doc_id"].eqNullSafe(F.col("__bad_id")), "left_anti")
+    """The rows of ``docs`` that are not contaminated, all columns. Rows are told
+    apart by id and text: a null or repeated id takes no other row with it."""
+    key = row_key("doc_id", "text")
+    bad = contamination(docs.withColumn("doc_id", key), items).where("contaminated").select(F.col("doc_id").alias("__bad_key")).distinct()
+    return docs.withColumn("__key", key).join(checked(materialise(bad)), F.col("__key") == F.col("__bad_key"), "left_anti").drop("__key")
 
 
 #: The same result in DuckDB SQL.

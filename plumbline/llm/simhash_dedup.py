@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import connected_components, materialise, release
+from plumbline.llm.common import connected_components, materialise, release, row_key
 
 THRESHOLD = 4
 #: Most rows of an anchor that one cell compares.
@@ -183,21 +183,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     included. Null and empty texts have fingerprint zero and link like any
     other; a text with fewer words than a shingle has one shingle. Exact
     copies and repeated rows share a fingerprint, are compared once, and get
-    the same component. A null ``doc_id`` never names a component; a group
-    that has only null ids gets a null one. Other columns are ignored.
+    the same component. A null ``doc_id`` never names a component but links
+    like any other; a group that has only null ids gets a null one. Other
+    columns are ignored.
     """
     prints = materialise(fingerprints(docs, id_col, text_col, words))
+    return _grouped(prints, threshold).select("doc_id", "fp", "component_id")
+
+
+def _grouped(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """``prints`` (``doc_id``, ``fp``) with ``group``, the smallest fingerprint
+    reachable over links, and ``component_id``."""
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    known = distinct.where("rep IS NOT NULL")
-    found = materialise(links(known, threshold))
+    found = materialise(links(distinct.select("fp", F.col("fp").alias("rep")), threshold))
     groups = connected_components(found)
+    to = materialise(distinct.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("group")))
     release(found)
-    to = distinct.join(groups, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(to, "fp").select("doc_id", "fp", "component_id")
+    named = to.groupBy("group").agg(F.min("rep").alias("component_id"))
+    return prints.join(to.select("fp", "group"), "fp").join(named, "group")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` names its component, all columns."""
-    groups = near_duplicates(docs)
-    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["__kept_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each group of near duplicates, all columns: that with the
+    smallest id, nulls last, and of different texts under it any one, always the
+    same. Rows are told apart by id and text, so null and repeated ids lose
+    nothing else."""
+    keyed = docs.withColumn("__key", row_key("doc_id", "text"))
+    prints = materialise(fingerprints(keyed, "__key").select(F.col("doc_id").alias("__key"), "fp"))
+    groups = _grouped(prints.select("__key", "fp", F.lit(None).cast("long").alias("doc_id"))).select("__key", "group")
+    ids = keyed.select("__key", "doc_id").distinct()
+    place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__key"))
+    keep = groups.distinct().join(ids, "__key").groupBy("group").agg(F.min(place).alias("kept")).select(F.col("kept.__key").alias("__key"))
+    return keyed.join(keep, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")

@@ -445,3 +445,20 @@ def test_changed_words_are_found_at_every_length(spark, n):
                 copies += 1
     got = line_dedup.deduplicate_lines(frame(spark, [(1, "\n".join(lines))]), bits=None).first()
     assert got["__n_removed"] == copies and got["text"].split("\n") == [x for i, x in enumerate(lines) if i % (len(lines) // 20) == 0]
+
+
+def test_filters_tell_rows_with_null_or_repeated_ids_apart(spark):
+    rng = random.Random(17)
+    text = [words(rng, 80, 5000) for _ in range(6)]
+    near = text[0].upper()
+    rows = [(None, text[0]), (None, near), (None, text[1]), (5, text[2]), (5, text[3]), (7, text[3].upper()), (4, text[2].upper())]
+    kept = {(r["doc_id"], r["text"]) for r in simhash_dedup.keep_one(frame(spark, rows)).collect()}
+    nulls = kept & {(None, text[0]), (None, near)}
+    assert len(nulls) == 1 and kept - nulls == {(None, text[1]), (4, text[2].upper()), (5, text[3])}
+    # a chain of fingerprints 3 bits apart whose middle has only a null id
+    prints = spark.createDataFrame([(1, 0), (None, 0b111), (2, 0b111111)], "doc_id long, fp long")
+    assert {r["component_id"] for r in simhash_dedup._grouped(prints).collect()} == {1}
+    items = spark.createDataFrame([(1, text[4])], "item_id long, text string")
+    rows = [(None, text[4]), (None, text[1]), (9, text[4]), (9, text[5]), (9, text[5])]
+    left = decontaminate.drop_contaminated(frame(spark, rows), items)
+    assert sorted((str(r["doc_id"]), r["text"]) for r in left.collect()) == sorted([("None", text[1]), ("9", text[5]), ("9", text[5])])
