@@ -174,11 +174,17 @@ INTRODUCED_SQL = """pairs AS (
   FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE p_size >= 49 AND l_quantity >= 49)"""
 
 
-def introduced(spark, sf):
-    """Large parts by the nations whose customers order them."""
+#: Over all order lines.
+INTRODUCED_WHOLE_SQL = INTRODUCED_SQL.replace(" AND l_quantity >= 49", "")
+
+
+def introduced(spark, sf, whole=False):
+    """Large parts by the nations whose customers order them: in large
+    quantities, or in any."""
     direct = table(spark, sf, "nation").select(F.concat(F.lit("n:"), "n_nationkey").alias("id"))
     hit = table(spark, sf, "part").where("p_size >= 49").select(F.concat(F.lit("p:"), "p_partkey").alias("id"))
-    big = table(spark, sf, "lineitem").where("l_quantity >= 49").select(F.concat(F.lit("o:"), "l_orderkey").alias("from_id"), F.concat(F.lit("p:"), "l_partkey").alias("to_id"))
+    lines = table(spark, sf, "lineitem")
+    big = (lines if whole else lines.where("l_quantity >= 49")).select(F.concat(F.lit("o:"), "l_orderkey").alias("from_id"), F.concat(F.lit("p:"), "l_partkey").alias("to_id"))
     e = edges(spark, sf, 4).unionByName(big)
     # only what leads to a hit matters below the direct dependencies
     last = e.where("to_id LIKE 'p:%'").join(hit.select(F.col("id").alias("to_id")), "to_id", "left_semi").select("from_id", "to_id")
@@ -199,8 +205,8 @@ def introducers_exclusive(spark, sf):
     return introduced(spark, sf).groupBy("id").agg(F.count(F.lit(1)).alias("k"), F.min("direct").alias("direct")).where("k = 1").select("direct", "id")
 
 
-def _greedy_sql(steps: int) -> str:
-    parts = [INTRODUCED_SQL]
+def _greedy_sql(steps: int, pairs: str = INTRODUCED_SQL) -> str:
+    parts = [pairs]
     for i in range(1, steps + 1):
         parts.append(f"s{i} AS (SELECT direct, count(*) AS gain FROM pairs WHERE id NOT IN (SELECT id FROM d{i - 1}) GROUP BY direct ORDER BY gain DESC, direct LIMIT 1)" if i > 1 else "s1 AS (SELECT direct, count(*) AS gain FROM pairs GROUP BY direct ORDER BY gain DESC, direct LIMIT 1)")
         parts.append(f"d{i} AS (" + (f"SELECT id FROM d{i - 1} UNION " if i > 1 else "") + f"SELECT id FROM pairs JOIN s{i} USING (direct))")
@@ -213,6 +219,25 @@ def greedy_plan(spark, sf):
     return G.greedy_plan(introduced(spark, sf), 5)
 
 
+@query(f"""
+WITH {INTRODUCED_WHOLE_SQL}, own AS (SELECT id, count(*) AS k FROM pairs GROUP BY id)
+SELECT direct, CAST(count(*) AS BIGINT) AS affected, CAST(count(*) FILTER (WHERE k = 1) AS BIGINT) AS exclusive FROM pairs JOIN own USING (id) GROUP BY direct""")
+def introducers_whole(spark, sf):
+    return G.introducers(introduced(spark, sf, whole=True))
+
+
+@query(f"""
+WITH {INTRODUCED_WHOLE_SQL}, own AS (SELECT id, count(*) AS k, min(direct) AS direct FROM pairs GROUP BY id)
+SELECT direct, id FROM own WHERE k = 1""")
+def introducers_exclusive_whole(spark, sf):
+    return introduced(spark, sf, whole=True).groupBy("id").agg(F.count(F.lit(1)).alias("k"), F.min("direct").alias("direct")).where("k = 1").select("direct", "id")
+
+
+@query(_greedy_sql(5, INTRODUCED_WHOLE_SQL))
+def greedy_plan_whole(spark, sf):
+    return G.greedy_plan(introduced(spark, sf, whole=True), 5)
+
+
 @query(f"""
 WITH {EDGES_SQL},
 m AS (SELECT 'n:' || n_nationkey AS id FROM nation WHERE n_regionkey = 1 UNION SELECT 'c:' || c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) AND c_acctbal > 0),

@@ -181,8 +181,17 @@ def version_facts(spark, sf):
 
 @query("SELECT DISTINCT 'pkg:npm/' || CASE WHEN l_quantity >= 49 THEN 'a' ELSE 'root' END || l_orderkey % 5 AS from_id, 'pkg:npm/b' || l_partkey % 7 AS to_id FROM lineitem WHERE l_quantity >= 48")
 def merge_placements(spark, sf):
+    return _merged_placements(table(spark, sf, "lineitem").where("l_quantity >= 48"))
+
+
+@query("SELECT DISTINCT 'pkg:npm/' || CASE WHEN l_quantity >= 49 THEN 'a' ELSE 'root' END || l_orderkey % 5 AS from_id, 'pkg:npm/b' || l_partkey % 7 AS to_id FROM lineitem")
+def merge_placements_whole(spark, sf):
+    return _merged_placements(table(spark, sf, "lineitem"))
+
+
+def _merged_placements(rows):
     """Instances hang on their parent instance's node, else on the root."""
-    rows = table(spark, sf, "lineitem").where("l_quantity >= 48").withColumn("g", F.col("l_orderkey") % 5)
+    rows = rows.withColumn("g", F.col("l_orderkey") % 5)
     tops = rows.select(F.concat(F.lit("top"), "g").alias("locator"), F.concat(F.lit("pkg:npm/a"), "g").alias("node_id"), F.lit(None).cast("string").alias("parent_locator"), F.col("g").alias("run_id")).distinct()
     kids = rows.select(F.concat_ws("/", F.lit("k"), "l_orderkey", "l_linenumber", "l_partkey").alias("locator"), F.concat(F.lit("pkg:npm/b"), F.col("l_partkey") % 7).alias("node_id"), F.when(F.col("l_quantity") >= 49, F.concat(F.lit("top"), "g")).alias("parent_locator"), F.col("g").alias("run_id"))
     roots = tops.select("run_id", F.concat(F.lit("pkg:npm/root"), "run_id").alias("id")).distinct()
@@ -193,7 +202,18 @@ def merge_placements(spark, sf):
 WITH s AS (SELECT 'pkg:generic/buildfile/workflow@x#' || l_orderkey AS f, l_partkey AS t, min(l_linenumber) AS o FROM lineitem WHERE l_orderkey < 200 GROUP BY 1, 2)
 SELECT substr(f, 34) AS file, CAST(row_number() OVER (PARTITION BY f ORDER BY o, t) AS INTEGER) AS step, t AS to_id FROM s""")
 def formulation_steps(spark, sf):
-    e = table(spark, sf, "lineitem").where("l_orderkey < 200").select(F.concat(F.lit("pkg:generic/buildfile/workflow@x#"), "l_orderkey").alias("from_id"), F.col("l_partkey").alias("to_id"), F.lit("installs").alias("kind"), F.col("l_linenumber").alias("ord"))
+    return _formulation(table(spark, sf, "lineitem").where("l_orderkey < 200"))
+
+
+@query("""
+WITH s AS (SELECT 'pkg:generic/buildfile/workflow@x#' || l_orderkey AS f, l_partkey AS t, min(l_linenumber) AS o FROM lineitem GROUP BY 1, 2)
+SELECT substr(f, 34) AS file, CAST(row_number() OVER (PARTITION BY f ORDER BY o, t) AS INTEGER) AS step, t AS to_id FROM s""")
+def formulation_steps_whole(spark, sf):
+    return _formulation(table(spark, sf, "lineitem"))
+
+
+def _formulation(rows):
+    e = rows.select(F.concat(F.lit("pkg:generic/buildfile/workflow@x#"), "l_orderkey").alias("from_id"), F.col("l_partkey").alias("to_id"), F.lit("installs").alias("kind"), F.col("l_linenumber").alias("ord"))
     return emit.formulation(e, e.select(F.col("to_id").alias("id"), F.lit("").alias("note")).distinct()).select("file", "step", "to_id")
 
 

@@ -82,3 +82,14 @@ def test_induced_subgraph_hangs_orphans_on_the_root(spark):
     e = spark.createDataFrame([("r", "a", "depends_on"), ("a", "b", "depends_on"), ("x", "c", "installs")], "from_id string, to_id string, kind string")
     got = {tuple(r) for r in G.induced_subgraph(e, ids(spark, "a", "b", "c"), "u").collect()}
     assert got == {("a", "b", "depends_on"), ("u", "a", "depends_on"), ("u", "c", "installs")}
+
+
+def test_whole_queries_leave_no_order_out(spark, tmp_path):
+    from plumbline import catalog
+
+    lines = [(order, 1, 10 + order % 3, 1.0 + order % 50) for order in (1, 199, 200, 5000)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = catalog.QUERIES["formulation_steps_whole"](spark, str(tmp_path)).collect()
+    assert {(r["file"], r["step"], r["to_id"]) for r in got} == {(str(o), 1, p) for o, _, p, _ in lines}
+    got = catalog.QUERIES["merge_placements_whole"](spark, str(tmp_path)).collect()
+    assert {(r["from_id"], r["to_id"]) for r in got} == {(f"pkg:npm/{'a' if q >= 49 else 'root'}{o % 5}", f"pkg:npm/b{p % 7}") for o, _, p, q in lines}
