@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from plumbline.functions import versions as V
@@ -174,6 +177,46 @@ def _conformance(name: str, ecosystem: str, cases: list[tuple[str, str, bool]])
 for _name, (_eco, _cases) in CASES.items():
     _conformance(_name, _eco, _cases)
 
+#: The conformance corpora of FIXTURES A.
+_CORPORA = {name: json.loads((Path(__file__).parent / "corpora" / f"{name}.json").read_text(encoding="utf-8")) for name in ("node-semver", "pep440-oracle")}
+NPM_CORPUS = [(s, v, True) for s, v in _CORPORA["node-semver"]["range_include"]] + [(s, v, False) for s, v in _CORPORA["node-semver"]["range_exclude"]]
+PEP440_CORPUS = [(s, v, ok) for v, s, ok in _CORPORA["pep440-oracle"]["satisfies"]]
+COMPARED = {
+    "npm_comparisons": ("npm", [(a, b, 1) for a, b in _CORPORA["node-semver"]["comparisons"]]),
+    "pep440_comparisons": ("pypi", _CORPORA["pep440-oracle"]["compare"]),
+}
+
+
+def _text(s: str) -> str:
+    return "'%s'" % s.replace("'", "''")
+
+
+def _corpus(name: str, ecosystem: str, cases: list[tuple[str, str, bool]]) -> None:
+    """What cannot be parsed does not satisfy."""
+    values = ", ".join(f"({_text(s)}, {_text(v)}, {str(ok).lower()})" for s, v, ok in cases)
+
+    @query(f"SELECT * FROM (VALUES {values}) AS t(spec, version, satisfied)", name=name)
+    def run(spark, sf):
+        rows = spark.createDataFrame([(ecosystem, s, v) for s, v, _ in cases], "ecosystem string, spec string, version string")
+        rows = V.with_compiled(rows).withColumn("parsed", V.version_columns(F.col("ecosystem"), F.col("version")))
+        return rows.select("spec", "version", F.coalesce(V.satisfies(F.col("parsed"), F.col("compiled")), F.lit(False)).alias("satisfied"))
+
+
+def _compared(name: str, ecosystem: str, cases: list[tuple[str, str, int]]) -> None:
+    values = ", ".join(f"({_text(a)}, {_text(b)}, {sign})" for a, b, sign in cases)
+
+    @query(f"SELECT a, b, CAST(sign AS INTEGER) AS sign FROM (VALUES {values}) AS t(a, b, sign)", name=name)
+    def run(spark, sf):
+        rows = spark.createDataFrame([(ecosystem, a, b) for a, b, _ in cases], "ecosystem string, a string, b string")
+        x, y = (V.version_columns(F.col("ecosystem"), F.col(c))["key"] for c in "ab")
+        return rows.select("a", "b", F.when(x < y, -1).when(x == y, 0).when(x > y, 1).alias("sign"))
+
+
+_corpus("npm_conformance_whole", "npm", NPM_CORPUS)
+_corpus("pep440_conformance_whole", "pypi", PEP440_CORPUS)
+for _name, (_eco, _cases) in COMPARED.items():
+    _compared(_name, _eco, _cases)
+
 POETRY = [
     ("^1.2.3", ">=1.2.3,<2.0.0"), ("^0.2", ">=0.2,<0.3.0"), ("~1.2", ">=1.2,<1.3.0"), ("~1", ">=1,<2.0.0"), ("1.4.*", ">=1.4,<1.5.0"), ("1.2.3", "==1.2.3"),
     (">=1.0 <2.0", ">=1.0,<2.0"), ("*", ""), ("~=1.4", "~=1.4"), ("^1 || ^2", None),

@@ -63,3 +63,13 @@ def test_release_bounds():
 
 def test_poetry_refuses_alternations():
     assert V.poetry_to_pep440("^1.2 || ^2.0") is None and V.poetry_to_pep440("^1.2.3") == ">=1.2.3,<2.0.0" and V.poetry_to_pep440("*") == ""
+
+
+def test_corpora_are_whole(spark):
+    from plumbline import catalog
+    from plumbline.plans import catalog_packages as P
+
+    assert [len(x) for x in (P.NPM_CORPUS, P.PEP440_CORPUS, P.COMPARED["npm_comparisons"][1], P.COMPARED["pep440_comparisons"][1])] == [94 + 77, 391, 17, 253]
+    for name, cases in (("npm_conformance_whole", P.NPM_CORPUS), ("pep440_conformance_whole", P.PEP440_CORPUS), ("npm_comparisons", P.COMPARED["npm_comparisons"][1]), ("pep440_comparisons", P.COMPARED["pep440_comparisons"][1])):
+        got = [tuple(r) for r in catalog.QUERIES[name](spark, "").collect()]
+        assert [x for x in got if list(x) not in [list(c) for c in cases]] == [] and len(got) == len(cases), name
