@@ -51,6 +51,17 @@ def materialise(df: DataFrame) -> DataFrame:
     return out
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, lengthened where ``df`` has columns of these names."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def release(df: DataFrame) -> None:
     """Delete a materialised table that no later step reads."""
     path = getattr(df, "_plumbline_path", None)
@@ -77,13 +88,16 @@ def _sweep() -> None:
             return
 
 
-#: A table is only broadcast when it was counted and has at most this many rows.
-BROADCAST_ROWS = 500_000
+#: A written table is only broadcast if its files have at most this many bytes.
+BROADCAST_BYTES = 8 << 20
 
 
 def checked(df: DataFrame) -> DataFrame:
-    """``df`` to be broadcast if it was counted to be small, else to be shuffled."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """``df``, from materialise(), to be broadcast if its files are small, else
+    left to the planner, which shuffles what it does not know to be small."""
+    spark, path = df.sparkSession, df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._plumbline_path)
+    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def row_key(*cols: str) -> Column:

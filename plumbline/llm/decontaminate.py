@@ -111,6 +111,7 @@ def contamination(
         mark = F.array(F.size("f").cast("long")) if k == 0 else F.array(F.lit(0).cast("long"))
         spread = words.select("doc_id", "key", F.posexplode(F.concat(mark, _shingle_hashes(F.col("f"), size))).alias("at", "value"))
         known = tokens.where(F.col("size") == size).select(F.col("shingle").alias("known")).distinct()
+        known = materialise(known)
         part = spread.join(checked(known), (F.col("value") == F.col("known")) & (F.col("at") > 0), "left")
         part = part.where(F.col("known").isNotNull() | ((F.col("at") == 0) & F.lit(k == 0)))
         part = part.select("doc_id", "key", F.lit(size).alias("size"), "at", "value")

@@ -376,50 +376,75 @@ def test_cross_entropy_difference(spark):
 # --- 9 lines -----------------------------------------------------------------------
 
 
-def test_line_dedup_against_brute_force(spark, monkeypatch):
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        row = list(itertools.accumulate(range(1, len(b) + 1), lambda left, j, row=row, i=i, c=c: min(left + 1, row[j] + 1, row[j - 1] + (c != b[j - 1])), initial=i))
+    return row[-1]
+
+
+def smallest_reachable(nodes, links):
+    comp = {n: n for n in nodes}
+    while True:
+        before = dict(comp)
+        for a, b in links:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+        if comp == before:
+            return comp
+
+
+def test_line_dedup_against_brute_force(spark):
     rng = random.Random(11)
-    lines = [words(rng, rng.randint(12, 40)) for _ in range(25)]
-    for _ in range(60):
-        parts = rng.choice(lines).split()
-        for _ in range(rng.randint(0, 2)):
+    lines = [words(rng, rng.randint(8, 40), 2000) for _ in range(25)] + [words(rng, n, 2000) for n in (1, 2, 3, 4, 5)]
+    shared = words(rng, 12, 2000)  # a passage in lines that are not alike otherwise
+    lines += [words(rng, 20, 2000) + " " + shared + " " + words(rng, 20, 2000) for _ in range(8)]
+    lines.append(" ".join(rng.sample(lines[0].split(), len(lines[0].split()))))  # the same words in another order
+    base = list(lines)
+    for _ in range(80):
+        parts = rng.choice(base).split()
+        for _ in range(rng.randint(0, 1 + len(parts) // 10)):
             how, at = rng.randrange(3), rng.randrange(len(parts))
-            parts[at : at + 1] = [[parts[at], "new"], [], [f"x{rng.randrange(9)}"]][how]
+            parts[at : at + 1] = [[parts[at], "new"], [] if len(parts) > 1 else parts, [f"x{rng.randrange(9)}"]][how]
         lines.append(" ".join(parts))
-    docs = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 6)))) for i in range(30)]
-    docs += [(100, None), (101, ""), (102, "---\n\n---"), (103, docs[0][1].upper()), (0, docs[0][1]), (104, "---")]
+    docs = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 6)))) for i in range(60)]
+    docs += [(99, "\n".join(base)), (100, None), (101, ""), (102, "---\n\n---"), (103, docs[0][1].upper()), (0, docs[0][1]), (104, "---")]
     places = [(i, k, x) for i, t in dict(docs).items() if t is not None for k, x in enumerate(t.split("\n")) if re.search(r"[^\W_]", x)]
     norm = {x: " ".join(x.lower().split(" ")) for _, _, x in places}
-    hashed = {r["w"]: r["h"] for r in spark.createDataFrame([(w,) for w in {w for n in norm.values() for w in n.split(" ")}], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
-
-    def sim(n):
-        ws = set(n.split(" "))
-        return sum(1 << b for b in range(64) if 2 * sum(hashed[w] >> b & 1 for w in ws) > len(ws))
-
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, c in enumerate(a, 1):
-            row = list(itertools.accumulate(range(1, len(b) + 1), lambda left, j, row=row, i=i, c=c: min(left + 1, row[j] + 1, row[j - 1] + (c != b[j - 1])), initial=i))
-        return row[-1]
-
     distinct = sorted(set(norm.values()))
-    sims = {n: sim(n) for n in distinct}
-    links = [(a, b) for a, b in itertools.combinations(distinct, 2) if bin(sims[a] ^ sims[b]).count("1") <= 3 and distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9)]
-    assert links
-    group, kept = groups(links, distinct), {}
+    certain, allowed = [], []
+    for a, b in itertools.combinations(distinct, 2):
+        n = min(len(a.split()), len(b.split()))
+        edits = edit_distance(a.split(), b.split())
+        if edits <= max(2, n // 5) and edit_distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9):
+            allowed.append((a, b))
+            if n > 3 and edits <= 1 + n // 10:
+                certain.append((a, b))
+    least, most = smallest_reachable(distinct, certain), smallest_reachable(distinct, allowed)
+    assert certain and least == most  # so the rule alone decides
+    first = {}
     for i, k, x in sorted(places):
-        kept.setdefault(group[norm[x]], (i, k))
+        first.setdefault(most[norm[x]], (i, k))
     want = {}
-    for i, t in docs:
+    for i, t in dict(docs).items():
         if t is not None:
-            want[i] = "\n".join(x for k, x in enumerate(t.split("\n")) if not re.search(r"[^\W_]", x) or kept[group[norm[x]]] == (i, k))
-    for lanes in (line_dedup.LANE_WORDS, 20):  # and lines too long for the lanes
-        monkeypatch.setattr(line_dedup, "LANE_WORDS", lanes)
-        got = line_dedup.deduplicate_lines(spark.createDataFrame(docs, DOCS).withColumn("drop", F.lit(1))).collect()
-        assert len(got) == len(docs)
-        assert {r["doc_id"]: r["text"] for r in got} == want | {100: None}
+            want[i] = "\n".join(x for k, x in enumerate(t.split("\n")) if x not in norm or first[most[norm[x]]] == (i, k))
+    got = line_dedup.deduplicate_lines(spark.createDataFrame(docs, DOCS).withColumn("drop", F.lit(1)).withColumn("__key", F.lit("own"))).collect()
+    assert len(got) == len(docs) and {r["__key"] for r in got} == {"own"}
+    assert {r["doc_id"]: r["text"] for r in got} == want | {100: None}
     assert line_dedup.deduplicate_lines(frame(spark, [])).count() == 0
 
 
+def test_very_long_lines_are_decided_by_their_words(spark):
+    rng = random.Random(23)
+    line = [f"v{rng.randrange(10**6)}" for _ in range(1500)]
+    near = [w if i % 9 else f"y{rng.randrange(10**6)}" for i, w in enumerate(line)]  # within 1 + n / 10 edits? 167 > 151: likely, not certain
+    far = [w if i % 3 else f"z{rng.randrange(10**6)}" for i, w in enumerate(line)]
+    turned = line[750:] + line[:750]
+    rows = [(i, " ".join(x)) for i, x in enumerate([line, near, far, turned])]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicate_lines(frame(spark, rows)).collect()}
+    assert got == {0: rows[0][1], 1: "", 2: rows[2][1], 3: rows[3][1]}
+
+
 def test_lines_equal_but_for_punctuation_and_blanks(spark):
     line = "All rights reserved by us"
     odd = [line + ".", line + "\r", line.replace(" ", "\t", 1), line.replace(" ", "  "), f" {line} ", line.upper() + "!", "«All» rights, reserved: by us"]
@@ -443,7 +468,7 @@ def test_changed_words_are_found_at_every_length(spark, n):
                     parts[at] = word()
                 lines.append(" ".join(parts))
                 copies += 1
-    got = line_dedup.deduplicate_lines(frame(spark, [(1, "\n".join(lines))]), bits=None).first()
+    got = line_dedup.deduplicate_lines(frame(spark, [(1, "\n".join(lines))])).first()
     assert got["__n_removed"] == copies and got["text"].split("\n") == [x for i, x in enumerate(lines) if i % (len(lines) // 20) == 0]
 
 
