@@ -9,6 +9,7 @@ works as input, and every intermediate lands in the folder that
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -71,6 +72,13 @@ def release(df: DataFrame) -> None:
             _created.remove(path)
 
 
+def forget_shuffles(df: DataFrame) -> None:
+    """Let the executors delete the shuffle files of steps that have ended. They do
+    so when the driver's garbage is collected, which may otherwise take hours."""
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
