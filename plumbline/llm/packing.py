@@ -32,7 +32,7 @@ SLOT_ROWS = 50_000
 
 
 def word_count(text: Column) -> Column:
-    """Words between ASCII white space; zero for null."""
+    """Words between ASCII white space; zero for null. A length without a tokenizer."""
     return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), ""))
 
 
@@ -68,26 +68,29 @@ def boundaries(lengths: list[int], counts: list[int], buckets: int) -> list[int]
     return ends[::-1]
 
 
-def pieces(rows: DataFrame, id_col: str, length: Column, max_len: int = MAX_LEN) -> DataFrame:
-    """``doc_id, piece, n_tokens``: sequences of at most ``max_len`` tokens."""
-    base = rows.select(F.col(id_col).cast("long").alias("doc_id"), length.cast("long").alias("__n"))
+def pieces(rows: DataFrame, id_col: str, length: Column, ends: Column | None = None, max_len: int = MAX_LEN) -> DataFrame:
+    """``doc_id, piece, n_tokens, start_byte, end_byte``: sequences of at most
+    ``max_len`` tokens. ``ends`` has the byte at which each piece ends."""
+    base = rows.select(F.col(id_col).cast("long").alias("doc_id"), length.cast("long").alias("__n"), (F.lit(None) if ends is None else ends).cast("array<long>").alias("__ends"))
     last = F.greatest(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / max_len))
-    return base.select("doc_id", "__n", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece")).select(
-        "doc_id", F.col("piece").cast("int").alias("piece"), F.least(F.lit(max_len).cast("long"), F.col("__n") - F.col("piece") * max_len).alias("n_tokens")
-    )
+    piece = base.select("doc_id", "__n", "__ends", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("at")).withColumn("piece", F.col("at").cast("int"))
+    start = F.when(F.col("piece") == 0, F.when(F.col("__ends").isNotNull(), F.lit(0).cast("long"))).otherwise(F.get("__ends", F.col("piece") - 1))
+    return piece.select("doc_id", "piece", F.least(F.lit(max_len).cast("long"), F.col("__n") - F.col("at") * max_len).alias("n_tokens"), start.alias("start_byte"), F.get("__ends", F.col("piece")).alias("end_byte"))
 
 
-def pack(rows: DataFrame, id_col: str, length: Column, max_len: int = MAX_LEN, budget: int = BUDGET, buckets: int = BUCKETS) -> DataFrame:
-    """One row for each piece: ``doc_id, piece, n_tokens, bucket,
-    padded_length, batch_id, slot``.
+def pack(rows: DataFrame, id_col: str, length: Column, ends: Column | None = None, max_len: int = MAX_LEN, budget: int = BUDGET, buckets: int = BUCKETS) -> DataFrame:
+    """One row for each piece: ``doc_id, piece, n_tokens, start_byte, end_byte,
+    bucket, padded_length, batch_id, slot``.
 
-    A batch holds at most ``budget`` tokens padded, or one piece if a single
+    Bytes ``start_byte`` to ``end_byte`` of the UTF-8 text are the piece, and a
+    document's pieces in order are its whole text; null without ``ends``. A
+    batch holds at most ``budget`` tokens padded, or one piece if a single
     piece is longer. Empty texts are pieces of length zero and are padded like
     the rest of their bucket. Repeated rows are packed each. An empty table gives
     no rows. Deterministic up to the order of identical rows.
     """
     spark = rows.sparkSession
-    cut = materialise(pieces(rows, id_col, length, max_len))
+    cut = materialise(pieces(rows, id_col, length, ends, max_len))
     # at most max_len + 1 rows, whatever the corpus
     histogram = sorted((r["n_tokens"], r["n"]) for r in cut.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).collect())
     ends = boundaries([x for x, _ in histogram], [n for _, n in histogram], buckets)
@@ -100,18 +103,20 @@ def pack(rows: DataFrame, id_col: str, length: Column, max_len: int = MAX_LEN, b
     bucket = F.lit(len(ends)).cast("int")
     for i in reversed(range(len(ends))):
         bucket = F.when(F.col("n_tokens") <= ends[i], F.lit(i)).otherwise(bucket)
-    dealt = cut.withColumn("bucket", bucket).withColumn("__h", F.xxhash64("doc_id", "piece"))
+    dealt = cut.withColumn("bucket", bucket).withColumn("__h", F.xxhash64("doc_id", "piece", "n_tokens", "end_byte"))
     dealt = dealt.withColumn("__slot", F.pmod(F.col("__h"), F.lit(slots)).cast("int"))
     counts = dealt.groupBy("bucket", "__slot").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("bucket").orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("bucket", "__slot", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
-    own = Window.partitionBy("bucket", "__slot").orderBy("__h", "doc_id", "piece", "n_tokens")
+    own = Window.partitionBy("bucket", "__slot").orderBy("__h", "doc_id", "piece", "n_tokens", "end_byte")
     ranked = dealt.withColumn("__rank", F.row_number().over(own) - 1).join(starts, ["bucket", "__slot"]).join(F.broadcast(table), "bucket")
     place = F.col("__start") + F.col("__rank")
     return ranked.select(
         "doc_id",
         "piece",
         "n_tokens",
+        "start_byte",
+        "end_byte",
         "bucket",
         "padded_length",
         F.concat_ws("-", F.col("bucket"), F.floor(place / F.col("per_batch"))).alias("batch_id"),

@@ -34,8 +34,8 @@ def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = token_counts.count_table(table(spark, sf_dir, "documents"), token_counts.public_tokenizer())
-    return packing.pack(counted, "doc_id", F.col("n_tokens"))
+    counted = token_counts.count_table(table(spark, sf_dir, "documents"), token_counts.public_tokenizer(), max_len=packing.MAX_LEN)
+    return packing.pack(counted, "doc_id", F.col("n_tokens"), F.col("ends"))
 
 
 def op6_preference(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,22 +45,6 @@ def _byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class _Totals(dict):
-    """Tokens of a pre-token; recent ones are kept."""
-
-    def __init__(self, piece_counts):
-        super().__init__()
-        self._piece_counts = piece_counts
-
-    def __missing__(self, piece: str) -> int:
-        n = self._piece_counts(piece.encode())[-1]
-        if len(self) >= UNITS_KEPT:
-            self.clear()
-        if len(piece) <= 64:
-            self[piece] = n
-        return n
-
-
 class PrefixCounter:
     """Counts for a byte-level BPE vocabulary (``tokenizers`` JSON)."""
 
@@ -83,7 +68,10 @@ class PrefixCounter:
         self._compatible: dict[tuple[bytes, bytes], bool] = {}
         self._whole: dict[bytes, bool] = {}
         self._steps: dict[str, bytes] = {}
-        self._totals = _Totals(self.piece_counts)
+        # the same merges for the library that is fastest on whole texts
+        self._bytes_of = np.array([1] * 256 + [len(a + b) for a, b in self.ranks], np.int64)
+        order = [*(bytes([b]) for b in range(256)), *(a + b for a, b in self.ranks)]
+        self._whole_texts = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks={t: i for i, t in enumerate(order)}, special_tokens={})
 
     def _merge(self, piece: bytes) -> list[bytes]:
         parts = [piece[i : i + 1] for i in range(len(piece))]
@@ -199,11 +187,12 @@ class PrefixCounter:
                 out.append(np.diff(np.array([*marks, total])).astype(np.int8).tobytes())
         return b"".join(out)
 
-    def total(self, text: str) -> int:
-        """Tokens of the whole text, without its prefix table."""
-        if self._split is None or not any(s in text for s in self.special):
-            return sum(map(self._totals.__getitem__, self._pattern.findall(text)))
-        return sum(1 if i % 2 else self.total(part) for i, part in enumerate(self._split.split(text)))
+    def token_bytes(self, text: str) -> np.ndarray:
+        """Bytes of each token of the whole text, without its prefix table."""
+        if self._split is not None and any(s in text for s in self.special):
+            parts = enumerate(self._split.split(text))
+            return np.concatenate([[len(part.encode())] if i % 2 else self.token_bytes(part) for i, part in parts]).astype(np.int64)
+        return self._bytes_of[self._whole_texts.encode_ordinary(text)]
 
     def count(self, text: str) -> int:
         return int(np.frombuffer(self.steps(text), np.int8).sum(dtype=np.int64))
@@ -250,17 +239,24 @@ def prefix_table(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     )
 
 
-def count_table(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``n_tokens`` for every row: the counts of prefix_table()
-    where no prefix is asked for."""
+def count_table(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", max_len: int | None = None) -> DataFrame:
+    """``doc_id``, ``n_tokens`` and ``ends`` for every row: the counts of
+    prefix_table() where no prefix is asked for. ``ends`` are the bytes at which
+    pieces of ``max_len`` tokens end, the last at the end of the text; one piece
+    without ``max_len``. Null counts as the empty text: no tokens, one piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(tokenizer)
         for batch in batches:
-            totals = [own.total(t.as_py() or "") for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int64())], names=["doc_id", "n_tokens"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long")
+            totals, ends = [], []
+            for t in batch.column(1):
+                sizes = own.token_bytes(t.as_py() or "")
+                upto = np.cumsum(sizes)
+                totals.append(len(sizes))
+                ends.append(np.append(upto[max_len - 1 : -1 : max_len] if max_len else upto[:0], upto[-1] if len(upto) else 0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int64()), pa.array(ends, pa.list_(pa.int64()))], names=["doc_id", "n_tokens", "ends"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ends array<long>")
 
 
 def public_tokenizer(name: str = "byte_bpe_50k.json") -> str:

@@ -39,6 +39,9 @@ def test_counts_at_every_prefix(tokenizer):
     from tokenizers import Tokenizer
 
     own, lib, rng = token_counts.PrefixCounter(tokenizer), Tokenizer.from_file(tokenizer), random.Random(1)
+    for text in ["", "a" * 50_000, " " * 3_000 + "x", "\n" * 3_000, "日本<|endoftext|>" * 500, "it's  \t x<|endoftext|><|endoftext|>"]:
+        sizes = own.token_bytes(text)
+        assert len(sizes) == len(lib.encode(text, add_special_tokens=False).ids) and sizes.sum() == len(text.encode())
     parts = ["a", "the", " ", "  ", "\n", " \n", "'s", "'re", "'", "!", "12", "é", "日本", "<|endoftext|>", "<|end", "\t", "ing", " ", "\x1c"]
     for _ in range(250):
         text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
@@ -288,6 +291,13 @@ def test_packing_query_counts_tokens(spark, tokenizer, tmp_path):
     lib = Tokenizer.from_file(tokenizer)
     assert per == {i: len(lib.encode(t or "", add_special_tokens=False).ids) for i, t in rows}
     assert max(r["n_tokens"] for r in got) == packing.MAX_LEN and sum(r["doc_id"] == 1 for r in got) > 1  # no blank, yet cut
+    for i, t in rows:  # the pieces' bytes are the text, and each but the last has all its tokens
+        mine = sorted((r for r in got if r["doc_id"] == i), key=lambda r: r["piece"])
+        raw = (t or "").encode()
+        assert b"".join(raw[r["start_byte"] : r["end_byte"]] for r in mine) == raw
+        offsets = [e for _, e in lib.encode(t or "", add_special_tokens=False).offsets]
+        for r in mine[:-1]:
+            assert r["end_byte"] == len((t or "")[: offsets[(r["piece"] + 1) * packing.MAX_LEN - 1]].encode())
 
 
 # --- 6 preferences --------------------------------------------------------------
@@ -363,8 +373,13 @@ def test_cross_entropy_difference(spark):
             target.update(grams(t))
     ctx = lambda c: collections.Counter(itertools.chain.from_iterable([g >> 8] * n for g, n in c.items()))
     ct, cb, a = ctx(target), ctx(back), lm_score.SMOOTHING
-    delta = lambda g: math.log((target[g] + a) / (ct[g >> 8] + 256 * a)) - math.log((back[g] + a) / (cb[g >> 8] + 256 * a))
-    want = {i: (len(grams(t)), sum(map(delta, grams(t))) / max(1, len(grams(t)))) for i, t in docs}
+    want = {}
+    for i, t in docs:  # by models without the document's own occurrences
+        own, n = collections.Counter(grams(t)), len(grams(t))
+        oc, mine = ctx(own), i == 1
+        p = lambda g: (target[g] - own[g] * mine + a) / (ct[g >> 8] - oc[g >> 8] * mine + 256 * a)  # noqa: B023, E731
+        q = lambda g: (back[g] - own[g] + a) / (cb[g >> 8] - oc[g >> 8] + 256 * a)  # noqa: B023, E731
+        want[i] = (n, sum(math.log(p(g) / q(g)) for g in grams(t)) / max(1, n))
     for rows in (lm_score.TABLE_ROWS, 0):  # the table sent to the workers, and left in place
         got = lm_score.score(frame(spark, docs), good, table_rows=rows).collect()
         assert len(got) == len(docs)
