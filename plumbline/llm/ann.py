@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.llm.common import materialise
+from plumbline.llm.common import hash_sample, materialise
 
 SAMPLE_ROWS = 20_000
 CALIBRATION = 128
@@ -98,14 +98,16 @@ class Tree:
             todo.extend((kids[c], rows[pick == c]) for c in np.unique(pick))
         return out
 
-    def visit(self, q: np.ndarray, most: int) -> list[int]:
-        """Leaves in best-bin-first order, at most ``most``."""
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < most:
+    def visit(self, q: np.ndarray, most: int, sizes: dict[int, int] | None = None, least: int = 0) -> list[int]:
+        """``most`` leaves in best-bin-first order, and more while they have fewer
+        than ``least`` rows by ``sizes``."""
+        queue, out, seen = [(0.0, 0)], [], 0
+        while queue and (len(out) < most or seen < least):
             _, node = heapq.heappop(queue)
             kids = self.children[node]
             if kids is None:
                 out.append(node)
+                seen += sizes.get(node, 0) if sizes else 0
                 continue
             for score, kid in zip((-(self.matrix[kids] @ q)).tolist(), kids):
                 heapq.heappush(queue, (score, kid))
@@ -177,7 +179,7 @@ def nearest(
     """
     spark = table.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
-    sampled = table.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample_rows).toArrow()
+    sampled = hash_sample(table, sample_rows, "vec_id", "v").toArrow()
     if not sampled.num_rows:
         return spark.createDataFrame([], schema)
     dim = len(sampled.column("v")[0])
@@ -192,20 +194,21 @@ def nearest(
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(leaf.astype(np.int32))], names=["vec_id", "v", "leaf"])
 
     indexed = materialise(table.select("vec_id", "v").mapInArrow(index, "vec_id long, v array<double>, leaf int"))
+    # one row for each leaf, so bounded like the tree
+    sizes = indexed.groupBy("leaf").agg(F.count(F.lit(1)).alias("nv")).collect()
+    per_leaf = {r["leaf"]: r["nv"] for r in sizes}
     visits = _calibrate(indexed, queries, tree, dim, k, recall, calibration)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                leaves = [held.value.visit(q, visits) for q in _matrix(b.column(1), dim)]
+                leaves = [held.value.visit(q, visits, per_leaf, k + 1) for q in _matrix(b.column(1), dim)]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(leaves, pa.list_(pa.int32()))], names=["query_id", "q", "leaves"])
 
     asked = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).mapInArrow(walk, "query_id long, q array<double>, leaves array<int>")
     asked = materialise(asked.select("query_id", "q", F.explode("leaves").alias("leaf")))
-    # one row for each leaf, so bounded like the tree
-    sizes = indexed.groupBy("leaf").agg(F.count(F.lit(1)).alias("nv"))
-    wants = asked.groupBy("leaf").agg(F.count(F.lit(1)).alias("nq"))
-    dealt = _groups(sizes.join(wants, "leaf").orderBy("leaf").collect())
+    wants = {r["leaf"]: r["nq"] for r in asked.groupBy("leaf").agg(F.count(F.lit(1)).alias("nq")).collect()}
+    dealt = _groups([{"leaf": leaf, "nv": nv, "nq": wants[leaf]} for leaf, nv in sorted(per_leaf.items()) if leaf in wants])
     plan = lambda: F.broadcast(spark.createDataFrame(dealt, "leaf int, grp int, sv int, sq int"))
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     left = asked.join(plan(), "leaf").select(
@@ -282,7 +285,7 @@ def exact_nearest(indexed: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: i
 
 def _calibrate(indexed: DataFrame, queries: DataFrame, tree: Tree, dim: int, k: int, recall: float, calibration: int) -> int:
     """Leaves to visit so that the mean recall of sampled queries is reached."""
-    chosen = queries.select("vec_id", "v").orderBy(F.xxhash64("vec_id", F.lit("c")), "vec_id").limit(calibration).toArrow()
+    chosen = hash_sample(queries.select("vec_id", "v", F.lit("c").alias("salt")), calibration, "vec_id", "v", "salt").select("vec_id", "v").toArrow()
     if not chosen.num_rows:
         return 1
     ids, vectors = chosen.column("vec_id").to_numpy(), _matrix(chosen.column("v"), dim)

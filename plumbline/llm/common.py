@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import itertools
 import tempfile
 import uuid
 
@@ -24,14 +25,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; a temporary one only where none is set (tests)."""
+    """The shared checkpoint folder; where none is set, one in the warehouse, or in
+    local mode (tests) a temporary one."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-"))
+    local = spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
+    # executors of a cluster share the warehouse, not the driver's temporary folder
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/plumbline-{uuid.uuid4().hex}")
     return spark.sparkContext.getCheckpointDir()
 
 
@@ -108,6 +112,18 @@ def checked(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
+def hash_sample(df: DataFrame, rows: int, *cols: str) -> DataFrame:
+    """The ``rows`` rows of ``df`` with the smallest hashes of ``cols``, in that
+    order; all if there are fewer. Counts first, so that only about twice as many
+    rows meet in the task that sorts them, whatever the number of partitions."""
+    hashed = F.xxhash64(*cols)
+    total = df.count()
+    if total > 2 * rows:  # the chance of fewer than ``rows`` below the edge is nil for rows beyond some tens
+        edge = -(1 << 63) + int((1 << 64) * (1.5 * rows + 200) / total)
+        df = df.where(hashed < min(edge, (1 << 63) - 1))
+    return df.orderBy(hashed, *cols).limit(rows)
+
+
 def row_key(*cols: str) -> Column:
     """One long that stands for a row's content, null-safe."""
     parts = []
@@ -135,9 +151,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .distinct()
     )
     mark = _mark(current)
-    for _ in range(max_rounds):
+    for round_ in itertools.count():
         if mark[0] == 0:
             break
+        if round_ == max_rounds:
+            raise RuntimeError(f"components not found in {max_rounds} rounds")
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (

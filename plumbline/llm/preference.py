@@ -5,15 +5,18 @@ turns (equal role and text) is rendered once as the prompt; what follows in
 either is its completion, with a mask: loss only falls on assistant turns of a
 completion, from the end of the turn's header on.
 
-Nothing gathers a conversation: turns are compared by (pair, position) with
-partial aggregation and come out as one row for each rendered turn, in order,
-so a conversation with any number of turns spreads over tasks and memory stays
-bounded. Concatenating a part's rows in order of ``seq`` gives its text.
+Turns come out as one row each, in order; concatenating a part's rows in order of
+``seq`` gives its text. A conversation's turns are numbered by a window, so they
+are sorted in one task, which spills; turns of the two sides are then compared by
+(pair, position) with partial aggregation, and no text is gathered in a row.
+
+The markers' own strings inside a role or text are broken by a blank after ``<|``,
+and line feeds in a role become blanks, so that no text can pose as a turn.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -21,6 +24,10 @@ from pyspark.sql.window import Window
 START, END = "<|im_start|>", "<|im_end|>\n"
 
 
+def _harmless(text: Column) -> Column:
+    return F.replace(text, F.lit("<|im_"), F.lit("<| im_"))
+
+
 def format_pairs(turns: DataFrame) -> DataFrame:
     """``pair_id, part, seq, role, rendered, loss_from`` for each rendered turn.
 
@@ -34,7 +41,7 @@ def format_pairs(turns: DataFrame) -> DataFrame:
     prompt with no completions; a side without turns has none. An empty table
     gives no rows. Other columns are ignored.
     """
-    rows = turns.select("pair_id", "side", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    rows = turns.select("pair_id", "side", "turn", _harmless(F.translate(F.coalesce("role", F.lit("")), "\n", " ")).alias("role"), _harmless(F.coalesce("text", F.lit(""))).alias("text")).distinct()
     order = Window.partitionBy("pair_id", "side").orderBy("turn", "role", "text")
     rows = rows.withColumn("seq", (F.row_number().over(order) - 1).cast("int"))
     # two digests stand for a turn, so comparing moves no text
@@ -92,7 +99,8 @@ s AS (
   SELECT pair_id, 'chosen' AS side, turn, role, text FROM w WHERE answers > 0
   UNION
   SELECT pair_id, 'rejected', turn, role, CASE WHEN role = 'assistant' AND rest = 1 THEN coalesce(answer, before, '') ELSE text END FROM w WHERE answers > 0),
-n AS (SELECT *, CAST(row_number() OVER (PARTITION BY pair_id, side ORDER BY turn, role, text) - 1 AS INTEGER) AS seq FROM s),
+e AS (SELECT DISTINCT pair_id, side, turn, replace(replace(role, chr(10), ' '), '<|im_', '<| im_') AS role, replace(text, '<|im_', '<| im_') AS text FROM s),
+n AS (SELECT *, CAST(row_number() OVER (PARTITION BY pair_id, side ORDER BY turn, role, text) - 1 AS INTEGER) AS seq FROM e),
 f AS (
   SELECT pair_id, min(seq) AS shared FROM (
     SELECT coalesce(c.pair_id, j.pair_id) AS pair_id, coalesce(c.seq, j.seq) AS seq

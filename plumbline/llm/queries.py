@@ -22,9 +22,10 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three grades from the two labels: poor; sound but toxic; sound."""
+    """Three grades from the two labels: poor; sound but toxic; sound. None where a
+    label that decides is null."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    ratings = labels.select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2).alias("grade"))
+    ratings = labels.select("doc_id", F.when(F.col("quality") == 0, 0).when((F.col("quality") == 1) & (F.col("toxic") == 1), 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2).alias("grade"))
     return quality.score(docs, quality.train(docs, ratings, n_grades=3))
 
 

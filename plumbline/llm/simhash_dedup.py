@@ -139,10 +139,9 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         F.transform(anchors(high), lambda x: x.bitwiseOR(F.lit(1 << 32))),
     )
     spread = distinct.select(F.explode(keys).alias("anchor"), "fp", "rep")
-    spread.createOrReplaceTempView("__plumbline_spread")
-    met = distinct.sparkSession.sql(
-        "SELECT anchor, fp, rep, n FROM (SELECT *, count(*) OVER (PARTITION BY anchor) AS n FROM __plumbline_spread) WHERE n > 1"
-    )
+    # counted with partial sums and joined, so that no task holds a whole anchor
+    sizes = spread.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = spread.join(sizes.hint("shuffle_hash"), "anchor").select("anchor", "fp", "rep", "n")
     slices = F.ceil(F.col("n") / CELL).cast("int")
     own = F.pmod(F.xxhash64("fp"), slices).cast("int")
     cells = F.when(slices == 1, F.array(F.lit(0))).otherwise(

@@ -7,8 +7,9 @@ factors ``v`` give every pair of terms a learned interaction, which an additive
 model has no weight for.
 
 The fit uses a bounded sample of the labelled rows (``max_rows``, the rows with
-the smallest hashes of their ids), selects the ``max_terms`` terms that tell
-most about the label, and trains on the driver with AdaGrad. The model is a few
+the smallest hashes of their ids, texts up to ``MAX_BYTES``), selects at most
+``max_terms`` terms that tell about the label, alone or in pairs, and trains on
+the driver with AdaGrad. The model is a few
 hundred KB whatever the corpus, and goes to the workers with the function.
 Scoring reads each whole text once and shuffles nothing.
 """
@@ -23,12 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import hash_sample
 from plumbline.llm.terms import words_of
 
 PREFIX = 4
 MAX_ROWS = 8_000
 MAX_TERMS = 8_192
 THRESHOLD = 0.3
+#: Longer texts are scored like all others, but not fitted on.
+MAX_BYTES = 200_000
+#: Most frequent terms among which pairs are looked for.
+PAIR_TERMS = 512
 
 
 def terms_of(text: str | None) -> np.ndarray:
@@ -77,13 +83,50 @@ def _informative(rows: list[np.ndarray], labels: np.ndarray, most: int, least_ro
     return np.sort(terms[order[g[order] > max(2.0, strictness * np.log(max(1, len(terms))))]])
 
 
+def _paired(rows: list[np.ndarray], labels: np.ndarray, least_rows: int, strictness: float = 2.0) -> np.ndarray:
+    """Terms that tell about the label in pairs: of the ``PAIR_TERMS`` most frequent
+    ones those in a pair whose four combinations have a likelihood-ratio statistic
+    that exceeds what either term has alone by ``strictness`` times the logarithm of
+    the number of pairs."""
+    terms, df = np.unique(np.concatenate(rows), return_counts=True)
+    n, least = len(labels), max(least_rows, 20)
+    usual = np.flatnonzero((df >= least) & (df <= n - least))
+    usual = np.sort(usual[np.lexsort((terms[usual], -df[usual]))][:PAIR_TERMS])
+    if len(usual) < 2:
+        return np.empty(0, np.uint64)
+    chosen = terms[usual]
+    x = np.stack([np.isin(chosen, r, assume_unique=True) for r in rows]).astype(np.float32)
+    y = labels.astype(np.float32)
+    every, toxic = (x.T @ x).astype(np.float64), ((x * y[:, None]).T @ x).astype(np.float64)
+
+    def cells(both: np.ndarray, total: float) -> list[np.ndarray]:
+        one = np.diag(both)
+        return [both, one[:, None] - both, one[None, :] - both, total - one[:, None] - one[None, :] + both]
+
+    def term(observed: np.ndarray, out_of: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(observed > 0, observed * np.log(observed / out_of), 0.0)
+
+    def fitted(bad: list[np.ndarray], of: list[np.ndarray]) -> np.ndarray:
+        return sum(term(b, o) + term(o - b, o) for b, o in zip(bad, of))
+
+    joint = fitted(cells(toxic, float(y.sum())), cells(every, float(n)))
+    one, bad = np.diag(every), np.diag(toxic)
+    alone = fitted([bad, y.sum() - bad], [one, n - one])
+    base = float(term(np.array(float(y.sum())), np.array(float(n))) + term(np.array(n - float(y.sum())), np.array(float(n))))
+    gain = joint - base - (alone[:, None] - base) - (alone[None, :] - base)
+    np.fill_diagonal(gain, 0)
+    return chosen[(gain > strictness * np.log(len(chosen) ** 2 / 2)).any(axis=1)]
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, rank: int = 4, epochs: int = 30, max_terms: int = MAX_TERMS, least_rows: int = 4, l2: float = 5e-5, seed: int = 7) -> Model:
     """Factorization machine on distinct terms per row; deterministic."""
     labels = np.asarray(labels, float)
     if not len(labels) or labels.min() == labels.max():
         p = float(np.clip(labels.mean() if len(labels) else 0.0, 1e-4, 1 - 1e-4))
         return Model(np.empty(0, np.uint64), float(np.log(p / (1 - p))), np.empty(0), np.empty((0, rank)))
-    terms = _informative(rows, labels, max_terms, least_rows)
+    paired = _paired(rows, labels, least_rows)[:max_terms]
+    terms = np.union1d(_informative(rows, labels, max_terms - len(paired), least_rows), paired)
     index = [np.flatnonzero(np.isin(terms, r, assume_unique=True)) for r in rows]
     rng = np.random.default_rng(seed)
     p = labels.mean()
@@ -119,27 +162,27 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, max_rows: int, ex
     """Terms and labels of at most ``max_rows`` labelled documents.
 
     ``labels`` has ``__id`` and the label. Taken by hash of the id, so the
-    sample does not depend on partitioning. Labels other than 0 and 1 and rows
-    that repeat an id are left out.
+    sample does not depend on partitioning. Ids with different labels, null labels
+    and texts beyond ``MAX_BYTES`` are left out; of different texts under one id
+    the one with the smallest hash is taken.
     """
-    known = labels.where(F.col(label_col).isNotNull() & F.col("__id").isNotNull()).dropDuplicates(["__id"])
-    chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(max_rows).select("__id", F.col(label_col).cast("int").alias("__label"))
+    known = labels.where(F.col(label_col).isNotNull() & F.col("__id").isNotNull())
+    known = known.groupBy("__id").agg(F.min(label_col).alias("__label"), F.max(label_col).alias("__most")).where("__label = __most")
+    chosen = hash_sample(known, max_rows, "__id").select("__id", F.col("__label").cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [extract(t.as_py()).view(np.int64) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int64()))], names=["id", "label", "terms"])
 
-    joined = docs.join(F.broadcast(chosen), "__id").select("__id", "__label", "__text")
-    got = joined.mapInArrow(run, "id long, label int, terms array<long>").toArrow().sort_by("id")
-    kept, ids = [], set()
-    for i, id_ in enumerate(got.column("id").to_pylist()):
-        if id_ not in ids:
-            ids.add(id_)
-            kept.append(i)
-    kept = pa.array(kept, pa.int64())
-    terms = got.column("terms").take(kept)
-    return [np.asarray(t.values, np.int64).view(np.uint64) for t in terms], np.asarray(got.column("label").take(kept))
+    joined = docs.where(F.octet_length(F.coalesce("__text", F.lit(""))) <= MAX_BYTES).join(F.broadcast(chosen), "__id")
+    one = joined.groupBy("__id", "__label").agg(F.min_by("__text", F.xxhash64("__text")).alias("__text"))
+    got = one.select("__id", "__label", "__text").mapInArrow(run, "id long, label int, terms array<long>").toArrow().sort_by("id").combine_chunks()
+    if not got.num_rows:
+        return [], np.empty(0, np.int32)
+    terms = got.column("terms").combine_chunks()
+    values, ends = terms.values.to_numpy().view(np.uint64), terms.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(ends[:-1], ends[1:])], got.column("label").to_numpy()
 
 
 def held_out(id_col: str = "doc_id"):
