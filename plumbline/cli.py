@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+from dataclasses import fields
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,6 +68,10 @@ def main(argv: list[str] | None = None) -> int:
         s.add_argument("--format", choices=("text", "json", "cyclonedx", "mermaid"), default="text")
     org = sub.add_parser("org")
     org.add_argument("folders", nargs="+")
+    org.add_argument("--workers", type=int, default=4)
+    history = sub.add_parser("history", help="movement over snapshots: Parquet of commit_ord, path, content")
+    history.add_argument("snapshots")
+    history.add_argument("--package")
     projects = sub.add_parser("projects")
     projects.add_argument("--prefix", default="")
     projects.add_argument("--limit", type=int)
@@ -98,8 +103,11 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "report":
         print(_document(engine, a), end="")
     elif a.command == "org":
-        status, totals = engine.org([(f.rstrip("/").rpartition("/")[2], f) for f in a.folders])
-        print(lines("REPOSITORIES  target, error", status, 1000) + lines("EXPOSURE", totals), end="")
+        status, totals = engine.org([(f.rstrip("/").rpartition("/")[2], f) for f in a.folders], workers=a.workers)
+        print(lines("REPOSITORIES  target, error, kind", status, 1000) + lines("EXPOSURE", totals), end="")
+    elif a.command == "history":
+        moved = engine.history(spark.read.parquet(a.snapshots), a.package).orderBy("commit", "name")
+        print(lines("HISTORY  commit, package, kind, declared from and to, installed from and to", moved.select("commit", "name", "kind", "from_declared", "to_declared", "from_installed", "to_installed"), 1000), end="")
     elif a.command == "projects":
         print(lines("PROJECTS  number, key, name, runs, newest, paths", engine.projects(a.prefix, a.limit), 1000), end="")
     elif a.command == "clean":
@@ -112,7 +120,11 @@ def main(argv: list[str] | None = None) -> int:
 def _document(engine: Engine, a: argparse.Namespace) -> str:
     if a.format in ("text", "json"):
         r = engine.report(a.run, a.state, a.known_at)
-        return render(r) if a.format == "text" else json.dumps(r.score, sort_keys=True, default=str) + "\n"
+        if a.format == "text":
+            return render(r)
+        # every section is a page of a report, except the findings: one line for each
+        parts = {f.name: [row.asDict(recursive=True) for row in part.toLocalIterator()] for f in fields(r) if isinstance(part := getattr(r, f.name), DataFrame)}
+        return json.dumps({"run_id": r.run_id, "score": r.score} | parts, sort_keys=True, default=str) + "\n"
     run_id = engine.store.resolve(a.run)
     run = engine.store.read("runs").where(f"run_id = '{run_id}'").first()
     nodes, edges = (engine.store.read(t).where(f"run_id = '{run_id}'").drop("run_id") for t in ("nodes", "edges"))

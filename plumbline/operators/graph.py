@@ -6,6 +6,7 @@ its lineage once a round. Nodes are never gathered; the driver sees counts.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,6 +18,14 @@ from plumbline.functions.scalars import upgrade_rank
 from plumbline.operators.workspace import cut
 
 PATH_CAP = 10_000
+#: Levels whose counts are unioned before they are written together.
+LEVELS = 16
+
+
+def rounds(most: int) -> Iterator[int]:
+    """The rounds of a fixpoint; one that needs more is an error, not a result."""
+    yield from range(most)
+    raise RuntimeError(f"no fixpoint in {most} rounds")
 
 
 def dedupe_edges(edges: DataFrame) -> DataFrame:
@@ -78,7 +87,7 @@ def reachable(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000, bl
     pairs = cut(pairs)
     seen = cut(sources.select("source", "id").distinct())
     frontier = seen
-    for _ in range(max_rounds):
+    for _ in rounds(max_rounds):
         step = frontier.join(pairs, frontier["id"] == pairs["from_id"]).select("source", F.col("to_id").alias("id")).distinct()
         frontier = cut(step.join(seen, ["source", "id"], "left_anti"))
         if frontier.isEmpty():
@@ -119,11 +128,11 @@ def scc(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFra
     live = cut(nodes.select("id").distinct())
     pairs = cut(edges.select("from_id", "to_id").distinct().where("from_id <> to_id"))
     done = None
-    for _ in range(max_rounds):
+    for _ in rounds(max_rounds):
         if live.isEmpty():
             break
         colour = cut(live.withColumn("c", F.col("id")))
-        for _ in range(max_rounds):
+        for _ in rounds(max_rounds):
             pushed = pairs.join(colour, pairs["from_id"] == colour["id"]).groupBy(F.col("to_id").alias("id")).agg(F.min("c").alias("p"))
             after = colour.join(pushed, "id", "left").select("id", F.least("c", F.coalesce("p", "c")).alias("c"), (F.col("p") < F.col("c")).alias("moved"))
             after = cut(after)
@@ -169,16 +178,19 @@ def path_counts(nodes: DataFrame, edges: DataFrame, root: str, cap: int = PATH_C
     ends = cut(ends.join(down.select(F.col("id").alias("from_id")), "from_id", "left_semi"))
     needs = cut(ends.groupBy(F.col("to_id").alias("id")).agg(F.count(F.lit(1)).alias("need")))
     counted = cut(start.select(F.col("component").alias("id"), F.lit(1).cast("long").alias("paths")))
-    partial, frontier = None, counted
-    for _ in range(max_rounds):
+    found, partial, frontier = [counted], None, counted
+    for _ in rounds(max_rounds):
         step = frontier.join(ends, frontier["id"] == ends["from_id"]).groupBy(F.col("to_id").alias("id")).agg(F.sum("paths").alias("paths"), F.count(F.lit(1)).alias("got"))
         partial = step if partial is None else partial.unionByName(step).groupBy("id").agg(F.sum("paths").alias("paths"), F.sum("got").alias("got"))
-        partial = cut(partial.select("id", F.least("paths", F.lit(cap)).alias("paths"), "got"))
-        frontier = cut(partial.join(needs, "id").where("got = need").select("id", "paths"))
+        state = cut(partial.select("id", F.least("paths", F.lit(cap)).alias("paths"), "got").join(needs, "id"))
+        frontier = state.where("got = need").select("id", "paths")
         if frontier.isEmpty():
             break
-        counted = cut(counted.unionByName(frontier))
-        partial = cut(partial.join(frontier.select("id"), "id", "left_anti"))
+        partial = state.where("got < need").select("id", "paths", "got")
+        found.append(frontier)
+        if len(found) == LEVELS:
+            found = [cut(functools.reduce(DataFrame.unionByName, found))]
+    counted = functools.reduce(DataFrame.unionByName, found)
     return comp.join(counted.withColumnRenamed("id", "component"), "component", "left").select("id", F.coalesce("paths", F.lit(0)).cast("int").alias("paths"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions import purl as P
-from plumbline.functions.scalars import severity_rank
+from plumbline.functions.scalars import error_kind, severity_rank
 from plumbline.operators import controls as C
 from plumbline.operators import findings as FI
 from plumbline.operators import fleet as FL
@@ -28,6 +29,14 @@ from plumbline.sources import extractors, files, lockfiles, toolbox
 from plumbline.sources.store import Store
 
 
+#: Files at the root of a tree whose content decides what is installed.
+WATCHED = (
+    "package.json", "package-lock.json", "npm-shrinkwrap.json", "pnpm-lock.yaml", "yarn.lock", "bun.lock", "pyproject.toml", "requirements.txt", "poetry.lock",
+    "uv.lock", "Pipfile", "Pipfile.lock", "pdm.lock", "setup.py", "setup.cfg", "Cargo.toml", "Cargo.lock", "go.mod", "go.sum", "Gemfile", "Gemfile.lock",
+    "composer.json", "composer.lock", "pom.xml", "build.gradle", "build.gradle.kts",
+)
+
+
 @dataclass
 class Registry:
     """Pre-staged registry and observation tables; any may be missing."""
@@ -177,48 +186,55 @@ class Engine:
 
     # --- fleet, history, housekeeping ------------------------------------------------
 
-    def org(self, targets: list[tuple[str, str | DataFrame]], bounds: Bounds = Bounds(), resume: bool = True) -> tuple[DataFrame, DataFrame]:
-        """Scan repositories (skipping those that have a run), then fold them.
-        Failures are rows: one bad repository does not stop a fleet."""
+    def org(self, targets: list[tuple[str, str | DataFrame]], bounds: Bounds = Bounds(), resume: bool = True, workers: int = 4) -> tuple[DataFrame, DataFrame]:
+        """Scan repositories (skipping those that have a run), ``workers`` at a time,
+        then fold them. Failures are rows with their kind: one bad repository does not
+        stop a fleet."""
         done = {r["target"] for r in self.store.read("runs").select("target").distinct().collect()} if resume and self.store.exists("runs") else set()
-        rows = []
-        for name, source in targets:
-            error = None
-            if name not in done:
-                try:
-                    self.scan(source, name, bounds=bounds)
-                except Exception as e:
-                    error = f"{type(e).__name__}: {e}"
-            rows.append((name, error))
-        status = self.spark.createDataFrame(rows, "target string, error string")
+
+        def one(target: tuple[str, str | DataFrame]) -> tuple[str, str | None]:
+            name, source = target
+            if name in done:
+                return name, None
+            try:
+                self.scan(source, name, bounds=bounds)
+            except Exception as e:
+                return name, f"{type(e).__name__}: {e}"
+            return name, None
+
+        with ThreadPoolExecutor(workers) as pool:
+            rows = list(pool.map(one, targets))
+        status = self.spark.createDataFrame(rows, "target string, error string").withColumn("kind", F.when(F.col("error").isNotNull(), error_kind(F.col("error"))))
         latest = O.latest_runs(self.store.read("runs"), "target").select("run_id", "target")
         return status, self.fleet(latest)
 
-    def fleet(self, runs: DataFrame) -> DataFrame:
-        """Exposure totals over runs: every grouping keys on run_id, no loop."""
+    def fleet(self, runs: DataFrame, known_at: datetime | None = None) -> DataFrame:
+        """Exposure totals over runs as known at a time: every grouping keys on
+        run_id, no loop."""
         rolled = self.store.read("version_rollup").join(runs.select("run_id"), "run_id", "left_semi")
         edges = self.store.read("edges").join(runs.select("run_id"), "run_id", "left_semi")
         targets = rolled.select("run_id", "node_id").distinct()
         matches = self._or_empty(self.registry.advisory_matches, "node_id string, osv_id string")
         records = self._or_empty(self.registry.advisories, "osv_id string, summary string, severity string, published timestamp, withdrawn timestamp, aliases array<string>")
-        found = FI.dedupe(targets.join(matches, "node_id").join(records, "osv_id"))
+        found = FI.check(targets.join(matches, "node_id"), records, F.lit(known_at).cast("timestamp"))
         return FL.exposure_totals(FI.exposure(targets, found, FI.surfaces(edges)))
 
     def history(self, snapshots: DataFrame, package: str | None = None) -> DataFrame:
-        """Dependency movement over ``commit_ord, path, content`` of npm manifests
-        and lockfiles, by graph position. Trees without a change in the watched
-        files are passed over."""
-        watched = snapshots.where(F.col("path").rlike(r"(^|/)(package\.json|package-lock\.json)$"))
+        """Dependency movement over ``commit_ord, path, content``, by graph position.
+        Trees whose watched files (``WATCHED``, at the root) did not change are passed
+        over; what moved is read from npm manifests and lockfiles at any depth."""
+        watched = snapshots.where(F.col("path").isin(*WATCHED))
         digest = watched.groupBy("commit_ord").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "path", F.sha2("content", 256)))), "\n"), 256).alias("digest"))
         picked = O.history_candidates(digest)
         rank = F.row_number().over(Window.orderBy("commit_ord"))  # commits of one repository
         order = picked.select("commit_ord", (rank - 1).alias("place"))
-        rows = cut(watched.join(F.broadcast(order), "commit_ord").select(F.col("place").cast("string").alias("run_id"), "path", "content"))
+        npm = snapshots.where(F.col("path").rlike(r"(^|/)(package\.json|package-lock\.json)$"))
+        rows = cut(npm.join(order, "commit_ord").select(F.col("place").cast("string").alias("run_id"), "path", "content"))
         declared = extractors.extract(rows).where("extractor = 'npm-manifest'").groupBy("run_id", P.purl_name("to_id").alias("name")).agg(F.max("spec").alias("declared"))
         held = lockfiles.read(rows).where("error IS NULL").groupBy("run_id", P.purl_name("node_id").alias("name")).agg(F.max(P.purl_version("node_id")).alias("installed"))
         both = declared.join(held, ["run_id", "name"], "left").withColumn("commit_ord", F.col("run_id").cast("int")).drop("run_id")
         changes = O.history_changes(both)
-        changes = changes.join(F.broadcast(order.withColumnsRenamed({"commit_ord": "commit", "place": "commit_ord"})), "commit_ord").drop("commit_ord")
+        changes = changes.join(order.withColumnsRenamed({"commit_ord": "commit", "place": "commit_ord"}), "commit_ord").drop("commit_ord")
         return changes.where(F.col("name") == package) if package else changes
 
     def projects(self, prefix: str = "", limit: int | None = None) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Each level is one set of joins over the frontier of distinct requirements;
 what was expanded before is left out, lineage is cut once a level, and every
-bound that stops the walk leaves a named reason on the nodes it stopped.
+bound that stops the walk leaves a named reason on the nodes it stopped. The bound
+on nodes holds for each node: a level that would pass it is cut inside.
 """
 
 from __future__ import annotations
@@ -85,7 +86,6 @@ def walk(nodes: DataFrame, edges: DataFrame, root: str, versions: DataFrame, req
     online = registry.select("ecosystem").distinct().withColumn("__online", F.lit(True))
     undated = registry.where("undated").select("ecosystem", "name").distinct().withColumn("__undated", F.lit(True))
     usable = registry.where("NOT undated").drop("undated")
-    done = cut(asks.select("ecosystem", "name", "spec").limit(0))
     hit: list[str] = []
     total, depth = known.count(), 0
     asks = cut(asks)
@@ -98,7 +98,7 @@ def walk(nodes: DataFrame, edges: DataFrame, root: str, versions: DataFrame, req
         elif bounds.seconds is not None and time.monotonic() - began > bounds.seconds:
             stop = "bound:timeout"
         if stop:
-            hit.append(stop)
+            hit += [stop] if stop not in hit else []
             new_nodes, new_edges = _left(asks, stop)
             known, concrete = cut(known.unionByName(new_nodes)), cut(concrete.unionByName(new_edges))
             break
@@ -122,19 +122,28 @@ def walk(nodes: DataFrame, edges: DataFrame, root: str, versions: DataFrame, req
         got = asks.join(picked, ["ecosystem", "name", "spec"])
         target = P.purl("ecosystem", "name", "version")
         got = cut(got.withColumn("id", target))
+        met = got.select("id").distinct().join(known.select("id").distinct(), "id", "left_anti")
+        room = bounds.max_nodes - total
+        over = None
+        if met.limit(room + 1).count() > room:
+            # the level reaches the bound: the smallest ids that still fit are expanded
+            hit.append("bound:nodes")
+            over = cut(met.join(met.orderBy("id").limit(room), "id", "left_anti").withColumn("__over", F.lit("bound:nodes")))
+            got = cut(got.join(over, "id", "left").withColumn("reason", F.coalesce("__over", "reason")).drop("__over"))
         new_nodes = got.select("id", "ecosystem", "name", "version", F.when(F.col("reason").isNull(), "resolved").otherwise("declared").alias("completeness"), "reason", "published_at", F.lit(depth + 1).cast("long").alias("ord")).dropDuplicates(["id"])
         new_edges = got.select("from_id", F.col("id").alias("to_id"), "kind", "spec", "scope", F.lit("declared").alias("origin"))
-        done = cut(done.unionByName(fresh))
         # children of versions met for the first time
         first = new_nodes.join(known.where("ord > 0").select("id"), "id", "left_anti")
-        known = cut(known.unionByName(_nodes(new_nodes)).unionByName(lost_nodes).dropDuplicates(["id", "completeness", "reason"]))
-        concrete = cut(concrete.unionByName(_edges(new_edges)).unionByName(lost_edges).distinct())
+        if over is not None:
+            first = first.join(over, "id", "left_anti")
         kids = first.select("id", "ecosystem", "name", "version").join(requirements, ["ecosystem", "name", "version"])
         kids = kids.select(F.col("id").alias("from_id"), "ecosystem", F.col("dep_name").alias("name"), "spec", "scope", F.lit("depends_on").alias("kind"))
         kids = cut(kids.withColumn("ask_id", P.purl("ecosystem", "name")))
         skipped_nodes, skipped_edges = _left(kids.where("scope = 'dev'"), "dev-not-installed")
-        known, concrete = cut(known.unionByName(skipped_nodes)), cut(concrete.unionByName(skipped_edges))
-        asks = cut(kids.where("scope <> 'dev'").distinct())
+        # only what is new is written; a walk has few levels
+        known = known.unionByName(cut(_nodes(new_nodes).unionByName(lost_nodes).unionByName(skipped_nodes).dropDuplicates(["id", "completeness", "reason"])))
+        concrete = concrete.unionByName(cut(_edges(new_edges).unionByName(lost_edges).unionByName(skipped_edges).distinct()))
+        asks = kids.where("scope <> 'dev'").distinct()
         depth += 1
         total = known.select("id").distinct().count()
     return Closure(cut(upsert_nodes(known)), cut(concrete.distinct()), depth, hit)

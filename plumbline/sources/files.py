@@ -24,7 +24,7 @@ def wanted(path: str) -> bool:
     return any(re.search(p, path) for p in patterns) or lookup(path) is not None
 
 
-def _listing(spark: SparkSession, root: str, largest: int) -> tuple[object, list[tuple[str, str]]]:
+def _listing(spark: SparkSession, root: str, largest: int | None) -> tuple[object, list[tuple[str, str]]]:
     """Claimed files below a folder as (path, path inside it). Spark's own listing
     passes over hidden names, which most build files have."""
     start = spark._jvm.org.apache.hadoop.fs.Path(root)
@@ -37,15 +37,18 @@ def _listing(spark: SparkSession, root: str, largest: int) -> tuple[object, list
             if status.isDirectory():
                 if name not in SKIPPED_FOLDERS:
                     todo.append((status.getPath(), f"{inside}{name}/"))
-            elif status.isFile() and status.getLen() <= largest and wanted(inside + name):
+            elif status.isFile() and wanted(inside + name):
+                if largest is not None and status.getLen() > largest:
+                    raise ValueError(f"{inside}{name} has {status.getLen()} bytes, more than {largest}")
                 found.append((status.getPath().toString(), inside + name))
     return system, sorted(found, key=lambda x: x[1])
 
 
-def scan(spark: SparkSession, root: str, run_id: str | None = None, largest: int = 32 << 20) -> DataFrame:
+def scan(spark: SparkSession, root: str, run_id: str | None = None, largest: int | None = None) -> DataFrame:
     """``path, content`` of the claimed files below a folder, relative to it.
 
-    Names come first and only claimed files are opened, by the executors. Files
+    Names come first and only claimed files are opened, by the executors, whatever
+    their size; with ``largest`` a larger claimed file is an error. Files
     whose own name is hidden are few and small, and are read by the driver.
     """
     system, found = _listing(spark, root, largest)

@@ -8,6 +8,9 @@ derived partitions and never an observation.
 
 from __future__ import annotations
 
+import threading
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +26,8 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._jvm = spark._jvm
+        self._appending = threading.Lock()
+        self._recover()
         marker = self._path("_version")
         found = self._fs(marker).exists(marker)
         version = self.spark.read.text(str(marker)).first()[0] if found else None
@@ -32,6 +37,30 @@ class Store:
         elif int(version) > VERSION:
             raise RuntimeError(f"store version {version} is newer than {VERSION}")
 
+    def _recover(self) -> None:
+        """Put back tables whose replacement was interrupted (see _replace())."""
+        folder = self._path("_replaced")
+        if self._fs(folder).exists(folder):
+            for status in self._fs(folder).listStatus(folder):
+                table = self._path(status.getPath().getName())
+                if self._fs(table).exists(table):
+                    self._fs(folder).delete(status.getPath(), True)
+                else:
+                    self._fs(folder).rename(status.getPath(), table)
+
+    def _replace(self, table: str, rows: DataFrame, files: int | None = None) -> None:
+        """Write a table beside the old one, then swap folders: at every moment
+        either the old or the new rows are whole, here or in ``_replaced``."""
+        new, now, old = self._path(f"_new_{uuid.uuid4().hex}"), self._path(table), self._path("_replaced", table)
+        (rows.coalesce(files) if files else rows).write.parquet(str(new))
+        fs = self._fs(now)
+        if fs.exists(now):
+            fs.mkdirs(old.getParent())
+            fs.delete(old, True)
+            fs.rename(now, old)
+        fs.rename(new, now)
+        fs.delete(old, True)
+
     def _path(self, *parts: str):
         return self._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
 
@@ -61,7 +90,9 @@ class Store:
                 rows = rows.dropDuplicates(["from_id", "to_id", "kind", "spec", "scope"])
             rows.drop("run_id").write.mode("overwrite").parquet(f"{self.root}/{name}/run_id={run['run_id']}")
         fields = "run_id string, target string, ref string, mode string, as_of timestamp, known_at timestamp, created_at timestamp, bounds_json string, project_num int"
-        self.spark.createDataFrame([tuple(run.get(f.split()[0]) for f in fields.split(", "))], fields).coalesce(1).write.mode("append").parquet(f"{self.root}/runs")
+        row = self.spark.createDataFrame([tuple(run.get(f.split()[0]) for f in fields.split(", "))], fields).coalesce(1)
+        with self._appending:  # two appends to one folder would clear each other's temporary files
+            row.write.mode("append").parquet(f"{self.root}/runs")
 
     def append(self, table: str, rows: DataFrame) -> None:
         if table not in OBSERVATIONS:
@@ -89,7 +120,7 @@ class Store:
             return ids
         before = self.counts().collect()
         left = cut(self.read("runs").where(~F.col("run_id").isin(ids)))
-        left.write.mode("overwrite").parquet(f"{self.root}/runs")
+        self._replace("runs", left)
         for table in DERIVED:
             for run_id in ids:
                 path = self._path(table, f"run_id={run_id}")
@@ -101,13 +132,13 @@ class Store:
     def compact(self, table: str, files: int = 1) -> None:
         """Rewrite an observation table in few files."""
         rows = cut(self.spark.read.option("mergeSchema", "true").parquet(f"{self.root}/{table}"))
-        rows.coalesce(files).write.mode("overwrite").parquet(f"{self.root}/{table}")
+        self._replace(table, rows, files)
 
     def upsert_projects(self, new: DataFrame) -> DataFrame:
         fields = "key string, num int, name string, created_at timestamp"
         old = cut(self.spark.read.parquet(f"{self.root}/projects")) if self.exists("projects") else self.spark.createDataFrame([], fields)
         rows = cut(O.upsert_projects(old, new))
-        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/projects")
+        self._replace("projects", rows, 1)
         return rows
 
     def resolve(self, ref: str) -> str:

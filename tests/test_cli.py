@@ -14,4 +14,13 @@ def test_scan_and_report(spark, tmp_path, capsys):
     assert "RISK" in out and "FRONTIER" in out and "unpinned-ref" in out
     assert cli.main([*store, "report", run, "--format", "cyclonedx"]) == 0 and '"specVersion": "1.6"' in capsys.readouterr().out
     assert cli.main([*store, "report", run, "--format", "mermaid"]) == 0 and "flowchart" in capsys.readouterr().out
+    assert cli.main([*store, "report", run, "--format", "json"]) == 0
+    import json
+
+    document = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert document["run_id"] == run and {"exposure", "findings", "controls", "score", "coverage", "owners"} <= set(document)
+    assert {x["reason"] for x in document["coverage"]} >= {"unpinned-ref"}
+    snapshots = spark.createDataFrame([(0, "package.json", bytearray(b'{"dependencies": {"a": "1"}}'))], "commit_ord int, path string, content binary")
+    snapshots.write.parquet(str(tmp_path / "snapshots"))
+    assert cli.main([*store, "history", str(tmp_path / "snapshots")]) == 0 and "added" in capsys.readouterr().out
     assert cli.main([*store, "tools"]) == 0 and "renovate" in capsys.readouterr().out

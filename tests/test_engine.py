@@ -98,3 +98,45 @@ def test_registries(spark):
     assert [spark.range(1).select(registries.crate_path(F.lit(n))).first()[0] for n in ("a", "ab", "Abc", "serde")] == ["1/a", "2/ab", "3/a/abc", "se/rd/serde"]
     mods = spark.createDataFrame([("m", "v1", "module m\nrequire (\n a.b/c v1.0.0\n d.e/f v2.0.0 // indirect\n)\nreplace a.b/c => ../c\n")], "module string, version string, value string")
     assert [(r["dep_name"], r["spec"]) for r in registries.go_requirements(mods).collect()] == [("a.b/c", "v1.0.0")]
+
+
+def test_node_bound_cuts_inside_a_level(spark):
+    from plumbline.plans.walk import EDGE, NODE, walk
+
+    names = [f"p{i}" for i in range(10)]
+    versions = spark.createDataFrame([("npm", n, "1.0.0", None) for n in [*names, "leaf"]], "ecosystem string, name string, version string, published_at timestamp")
+    needs = spark.createDataFrame([("npm", n, "1.0.0", "leaf", "^1", "prod") for n in names], "ecosystem string, name string, version string, dep_name string, spec string, scope string")
+    asked = spark.createDataFrame([("pkg:generic/app@1", f"pkg:npm/{n}", "depends_on", "^1", "prod", "declared") for n in names], EDGE)
+    got = walk(spark.createDataFrame([], NODE), asked, "pkg:generic/app@1", versions, needs, Bounds(max_nodes=5))
+    nodes = {r["id"]: (r["completeness"], r["reason"]) for r in got.nodes.where("ecosystem = 'npm'").collect()}
+    resolved = sorted(k for k, v in nodes.items() if v[0] == "resolved")
+    assert resolved == [f"pkg:npm/p{i}@1.0.0" for i in range(4)]  # the root is the fifth
+    assert all(nodes[f"pkg:npm/p{i}@1.0.0"] == ("declared", "bound:nodes") for i in range(4, 10))
+    assert nodes["pkg:npm/leaf"] == ("declared", "bound:nodes") and got.bounds_hit == ["bound:nodes"]
+    whole = walk(spark.createDataFrame([], NODE), asked, "pkg:generic/app@1", versions, needs, Bounds(max_nodes=12))
+    assert whole.nodes.where("completeness = 'resolved'").count() == 12 and not whole.bounds_hit
+
+
+def test_interrupted_replacement_is_put_back(engine, spark):
+    from plumbline.sources.store import Store
+
+    before = engine.store.read("runs").count()
+    root = engine.store.root
+    import os
+
+    os.makedirs(f"{root}/_replaced", exist_ok=True)
+    os.rename(f"{root}/runs", f"{root}/_replaced/runs")  # stopped between the two renames
+    assert Store(spark, root).read("runs").count() == before
+
+
+def test_a_fleet_is_read_as_of_a_time(engine):
+    runs = engine.store.read("runs").where("run_id = 'will'").select("run_id")
+    hits = lambda at: engine.fleet(runs, at).agg({"affected": "sum"}).first()[0]
+    assert hits(None) == 1 and hits(datetime(2023, 1, 1)) == 0
+
+
+def test_history_watches_the_root_of_any_ecosystem(engine, spark):
+    package = lambda spec: json.dumps({"dependencies": {"a": spec}}).encode()
+    rows = [(0, "package.json", package("^1")), (1, "package.json", package("^1")), (1, "README.md", b"x"), (2, "package.json", package("^1")), (2, "sub/package.json", package("^9")), (3, "package.json", package("^2")), (3, "go.mod", b"module m\n")]
+    got = engine.history(spark.createDataFrame([(c, p, bytearray(x)) for c, p, x in rows], "commit_ord int, path string, content binary")).collect()
+    assert {(r["commit"], r["kind"], r["to_declared"]) for r in got} == {(0, "added", "^1"), (3, "range-changed", "^2")}
