@@ -44,17 +44,23 @@ def enumerate_versions(requirements: DataFrame, registry: DataFrame, mode: str =
     asks = with_compiled(requirements.select("ecosystem", "name", "spec").distinct())
     met = asks.join(parsed_versions(registry), ["ecosystem", "name"]).where(satisfies(F.col("parsed"), F.col("compiled")))
     req = ["ecosystem", "name", "spec"]
+    if mode == "will":
+        # the newest of each, by partial aggregation: no range's versions meet in a window
+        newest = F.struct("parsed.key", "version")
+        best = met.where("ecosystem <> 'golang'").groupBy(*req).agg(
+            F.max(newest).alias("any"), F.max(F.when(~F.col("parsed.is_pre"), newest)).alias("stable"), F.bool_or("compiled.mentions_pre").alias("pre")
+        )
+        chosen = F.when((F.col("ecosystem") == "pypi") & ~F.col("pre"), F.coalesce("stable", "any")).otherwise(F.col("any"))
+        picked = best.select(*req, chosen.getField("version").alias("version"), F.lit(1).alias("place"))
+        # a Go requirement is its own lower bound, listed or not
+        own = asks.where("ecosystem = 'golang' AND compiled.ok").select(*req, version_columns(F.lit("golang"), F.regexp_replace("spec", r"^\s*>=?\s*", "")).getField("canonical").alias("version"), F.lit(1).alias("place"))
+        return requirements.join(picked.unionByName(own), req)
     stable = F.bool_or(~F.col("parsed.is_pre")).over(Window.partitionBy(*req))
-    met = met.where(F.lit(True)).withColumn("__stable", stable)
+    met = met.withColumn("__stable", stable)
     met = met.where((F.col("ecosystem") != "pypi") | F.col("compiled.mentions_pre") | ~F.col("__stable") | ~F.col("parsed.is_pre"))
     rank = F.row_number().over(Window.partitionBy(*req).orderBy(F.desc("parsed.key"), F.desc("version")))
-    will_rank = F.row_number().over(Window.partitionBy(*req).orderBy(F.when(F.col("ecosystem") == "golang", F.col("parsed.key")), F.desc("parsed.key"), F.desc("version")))
-    met = met.withColumn("place", will_rank if mode == "will" else rank).where(F.col("place") <= (1 if mode == "will" else most))
+    met = met.withColumn("place", rank).where(F.col("place") <= most)
     picked = met.select(*req, F.when(F.col("ecosystem") == "golang", F.col("parsed.canonical")).otherwise(F.col("version")).alias("version"), "place")
-    if mode == "will":
-        # a Go requirement is its own lower bound, listed or not
-        own = asks.where("ecosystem = 'golang' AND compiled.ok").select(*req, version_columns(F.lit("golang"), F.regexp_replace("spec", r"^\s*>=?\s*", "")).getField("canonical").alias("version"), F.lit(1).alias("place"))
-        picked = picked.where("ecosystem <> 'golang'").unionByName(own)
     return requirements.join(picked, req)
 
 
