@@ -9,7 +9,7 @@ what selection uses.
 Features are the shares of hashed words and word beginnings in a fixed number
 of slots plus a few shares of character classes, so they have one scale for
 short and long texts. The fit uses a bounded sample of the rated rows
-(``max_rows``) on the driver; scoring reads whole texts and shuffles nothing.
+(``max_rows``) on one executor; scoring reads whole texts and shuffles nothing.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.terms import words_of
-from plumbline.llm.toxicity import sample
+from plumbline.llm.toxicity import fitted, sampled
 
 SLOTS = 1_024
 SHAPES = 12
@@ -116,9 +116,12 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col: str = "doc
     usable = ratings.select(F.col(id_col).cast("long").alias("__id"), F.col(grade_col).alias("grade")).where(F.col("grade").between(0, n_grades - 1))
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
     packed = lambda t: features_of(t).astype(np.float64).view(np.uint64)
-    rows, grades = sample(texts, usable, "grade", max_rows, packed)
-    x = np.stack([r.view(np.float64) for r in rows]) if rows else np.zeros((0, SLOTS + SHAPES))
-    return fit(x, grades.astype(np.int64), n_grades)
+
+    def fit_one(rows: list[np.ndarray], grades: np.ndarray) -> Model:
+        x = np.stack([r.view(np.float64) for r in rows]) if rows else np.zeros((0, SLOTS + SHAPES))
+        return fit(x, grades.astype(np.int64), n_grades)
+
+    return fitted(sampled(texts, usable, "grade", max_rows, packed), fit_one)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", at_least: int = 1, keep_at: float = 0.5) -> DataFrame:

@@ -9,13 +9,14 @@ model has no weight for.
 The fit uses a bounded sample of the labelled rows (``max_rows``, the rows with
 the smallest hashes of their ids, texts up to ``MAX_BYTES``), selects at most
 ``max_terms`` terms that tell about the label, alone or in pairs, and trains on
-the driver with AdaGrad. The model is a few
+one executor with AdaGrad. The model is a few
 hundred KB whatever the corpus, and goes to the workers with the function.
 Scoring reads each whole text once and shuffles nothing.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +34,7 @@ MAX_TERMS = 8_192
 THRESHOLD = 0.3
 #: Longer texts are scored like all others, but not fitted on.
 MAX_BYTES = 200_000
+_SAMPLED = pa.schema([("id", pa.int64()), ("label", pa.int32()), ("terms", pa.list_(pa.int64()))])
 #: Most frequent terms among which pairs are looked for.
 PAIR_TERMS = 512
 
@@ -158,8 +160,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rank: int = 4, epochs: int =
     return Model(terms, w0, w, v)
 
 
-def sample(docs: DataFrame, labels: DataFrame, label_col: str, max_rows: int, extract=terms_of) -> tuple[list[np.ndarray], np.ndarray]:
-    """Terms and labels of at most ``max_rows`` labelled documents.
+def sampled(docs: DataFrame, labels: DataFrame, label_col: str, max_rows: int, extract=terms_of) -> DataFrame:
+    """``id, label, terms`` of at most ``max_rows`` labelled documents.
 
     ``labels`` has ``__id`` and the label. Taken by hash of the id, so the
     sample does not depend on partitioning. Ids with different labels, null labels
@@ -177,12 +179,32 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, max_rows: int, ex
 
     joined = docs.where(F.octet_length(F.coalesce("__text", F.lit(""))) <= MAX_BYTES).join(F.broadcast(chosen), "__id")
     one = joined.groupBy("__id", "__label").agg(F.min_by("__text", F.xxhash64("__text")).alias("__text"))
-    got = one.select("__id", "__label", "__text").mapInArrow(run, "id long, label int, terms array<long>").toArrow().sort_by("id").combine_chunks()
-    if not got.num_rows:
+    return one.select("__id", "__label", "__text").mapInArrow(run, "id long, label int, terms array<long>")
+
+
+def _arrays(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+    if not table.num_rows:
         return [], np.empty(0, np.int32)
-    terms = got.column("terms").combine_chunks()
+    table = table.sort_by("id").combine_chunks()
+    terms = table.column("terms").combine_chunks()
     values, ends = terms.values.to_numpy().view(np.uint64), terms.offsets.to_numpy()
-    return [values[a:b] for a, b in zip(ends[:-1], ends[1:])], got.column("label").to_numpy()
+    return [values[a:b] for a, b in zip(ends[:-1], ends[1:])], table.column("label").to_numpy()
+
+
+def sample(docs: DataFrame, labels: DataFrame, label_col: str, max_rows: int, extract=terms_of) -> tuple[list[np.ndarray], np.ndarray]:
+    """The rows of sampled(), on the driver."""
+    return _arrays(sampled(docs, labels, label_col, max_rows, extract).toArrow())
+
+
+def fitted(rows: DataFrame, fit_one):
+    """``fit_one(terms, labels)`` of the rows of sampled(), run as one task of an
+    executor, so that the driver only gets the model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = fit_one(*_arrays(pa.Table.from_batches(list(batches), _SAMPLED)))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    return pickle.loads(rows.repartition(1).mapInArrow(run, "model binary").first()["model"])
 
 
 def held_out(id_col: str = "doc_id"):
@@ -193,7 +215,7 @@ def held_out(id_col: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS) -> Model:
     usable = labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).alias(label_col)).where(F.col(label_col).isin(0, 1) & ~held_out("__id"))
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
-    return fit(*sample(texts, usable, label_col, max_rows))
+    return fitted(sampled(texts, usable, label_col, max_rows), fit)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
