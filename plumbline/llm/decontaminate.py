@@ -24,7 +24,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import checked, materialise, row_key
+from plumbline.llm.common import checked, free_names, materialise, row_key
 
 WINDOW = 13
 SHINGLE = 5
@@ -105,18 +105,20 @@ def contamination(
 
     words = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     words = words.select("doc_id", row_key("doc_id", "text").alias("key"), _folded_words(F.col("text")).alias("f"))
-    found = None
-    for k, size in enumerate(sizes or [shingle]):
-        # the first pass also carries each document's word count, at position 0
-        mark = F.array(F.size("f").cast("long")) if k == 0 else F.array(F.lit(0).cast("long"))
-        spread = words.select("doc_id", "key", F.posexplode(F.concat(mark, _shingle_hashes(F.col("f"), size))).alias("at", "value"))
-        known = tokens.where(F.col("size") == size).select(F.col("shingle").alias("known")).distinct()
-        known = materialise(known)
-        part = spread.join(checked(known), (F.col("value") == F.col("known")) & (F.col("at") > 0), "left")
-        part = part.where(F.col("known").isNotNull() | ((F.col("at") == 0) & F.lit(k == 0)))
-        part = part.select("doc_id", "key", F.lit(size).alias("size"), "at", "value")
-        found = part if found is None else found.unionByName(part)
-    found = materialise(found)
+    # one pass for all lengths; its first row of a document has the number of words
+    mark = F.array(F.struct(F.lit(0).alias("size"), F.lit(0).alias("at"), F.size("f").cast("long").alias("value")))
+    numbered = lambda size: F.transform(_shingle_hashes(F.col("f"), size), lambda v, i: F.struct(F.lit(size).alias("size"), (i + 1).alias("at"), v.alias("value")))
+    if len(sizes) == 1:
+        spread = words.select("doc_id", "key", F.posexplode(F.concat(F.array(F.size("f").cast("long")), _shingle_hashes(F.col("f"), sizes[0]))).alias("at", "value"))
+        spread = spread.withColumn("size", F.when(F.col("at") > 0, sizes[0]).otherwise(0))
+    else:
+        spread = words.select("doc_id", "key", F.inline(F.concat(mark, *[numbered(size) for size in sizes])))
+    known = checked(materialise(tokens.select("size", F.col("shingle").alias("value")).distinct().withColumn("known", F.lit(True))))
+    if len(sizes) == 1:
+        spread = spread.join(known.drop("size"), "value", "left").where("at = 0 OR known")
+    else:
+        spread = spread.join(known, ["size", "value"], "left").where("at = 0 OR known")
+    found = materialise(spread.select("doc_id", "key", "size", "at", "value"))
 
     base = found.where("at = 0").select("doc_id", "key", F.col("value").alias("n_words"))
     hits = found.where("at > 0")
@@ -179,9 +181,10 @@ def _propose(hits: DataFrame, prefixes: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, all columns. Rows are told
     apart by id and text: a null or repeated id takes no other row with it."""
-    key = row_key("doc_id", "text")
-    bad = contamination(docs.withColumn("doc_id", key), items).where("contaminated").select(F.col("doc_id").alias("__bad_key")).distinct()
-    return docs.withColumn("__key", key).join(checked(materialise(bad)), F.col("__key") == F.col("__bad_key"), "left_anti").drop("__key")
+    key, bad_key = free_names(docs, "__key", "__bad_key")
+    own = row_key("doc_id", "text")
+    bad = contamination(docs.select(own.alias("doc_id"), "text"), items).where("contaminated").select(F.col("doc_id").alias(bad_key)).distinct()
+    return docs.withColumn(key, own).join(checked(materialise(bad)), F.col(key) == F.col(bad_key), "left_anti").drop(key)
 
 
 #: The same result in DuckDB SQL.

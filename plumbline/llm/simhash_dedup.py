@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import connected_components, materialise, release, row_key
+from plumbline.llm.common import connected_components, free_names, materialise, release, row_key
 
 THRESHOLD = 4
 #: Most rows of an anchor that one cell compares.
@@ -207,10 +207,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     smallest id, nulls last, and of different texts under it any one, always the
     same. Rows are told apart by id and text, so null and repeated ids lose
     nothing else."""
-    keyed = docs.withColumn("__key", row_key("doc_id", "text"))
+    (own,) = free_names(docs, "__key")
+    keyed = docs.select(row_key("doc_id", "text").alias("__key"), "doc_id", "text")
     prints = materialise(fingerprints(keyed, "__key").select(F.col("doc_id").alias("__key"), "fp"))
     groups = _grouped(prints.select("__key", "fp", F.lit(None).cast("long").alias("doc_id"))).select("__key", "group")
     ids = keyed.select("__key", "doc_id").distinct()
     place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__key"))
     keep = groups.distinct().join(ids, "__key").groupBy("group").agg(F.min(place).alias("kept")).select(F.col("kept.__key").alias("__key"))
-    return keyed.join(keep, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    return docs.withColumn(own, row_key("doc_id", "text")).join(keep.toDF(own), own, "left_semi").dropDuplicates([own]).drop(own)
