@@ -171,40 +171,21 @@ def paths_to_k(spark, sf):
 
 INTRODUCED_SQL = """pairs AS (
   SELECT DISTINCT 'n:' || c_nationkey AS direct, 'p:' || l_partkey AS id
-  FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE p_size >= 49 AND l_quantity >= 49)"""
+  FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE p_size >= 49)"""
 
 
-#: Over all order lines.
-INTRODUCED_WHOLE_SQL = INTRODUCED_SQL.replace(" AND l_quantity >= 49", "")
-
-
-def introduced(spark, sf, whole=False):
-    """Large parts by the nations whose customers order them: in large
-    quantities, or in any."""
+def introduced(spark, sf):
+    """Large parts by the nations whose customers order them."""
     direct = table(spark, sf, "nation").select(F.concat(F.lit("n:"), "n_nationkey").alias("id"))
     hit = table(spark, sf, "part").where("p_size >= 49").select(F.concat(F.lit("p:"), "p_partkey").alias("id"))
     lines = table(spark, sf, "lineitem")
-    big = (lines if whole else lines.where("l_quantity >= 49")).select(F.concat(F.lit("o:"), "l_orderkey").alias("from_id"), F.concat(F.lit("p:"), "l_partkey").alias("to_id"))
+    big = lines.select(F.concat(F.lit("o:"), "l_orderkey").alias("from_id"), F.concat(F.lit("p:"), "l_partkey").alias("to_id"))
     e = edges(spark, sf, 4).unionByName(big)
     # only what leads to a hit matters below the direct dependencies
     last = e.where("to_id LIKE 'p:%'").join(hit.select(F.col("id").alias("to_id")), "to_id", "left_semi").select("from_id", "to_id")
     return G.attribution(direct, hit, e.where("to_id NOT LIKE 'p:%'").unionByName(last))
 
 
-@query(f"""
-WITH {INTRODUCED_SQL}, own AS (SELECT id, count(*) AS k FROM pairs GROUP BY id)
-SELECT direct, CAST(count(*) AS BIGINT) AS affected, CAST(count(*) FILTER (WHERE k = 1) AS BIGINT) AS exclusive FROM pairs JOIN own USING (id) GROUP BY direct""")
-def introducers(spark, sf):
-    return G.introducers(introduced(spark, sf))
-
-
-@query(f"""
-WITH {INTRODUCED_SQL}, own AS (SELECT id, count(*) AS k, min(direct) AS direct FROM pairs GROUP BY id)
-SELECT direct, id FROM own WHERE k = 1""")
-def introducers_exclusive(spark, sf):
-    return introduced(spark, sf).groupBy("id").agg(F.count(F.lit(1)).alias("k"), F.min("direct").alias("direct")).where("k = 1").select("direct", "id")
-
-
 def _greedy_sql(steps: int, pairs: str = INTRODUCED_SQL) -> str:
     parts = [pairs]
     for i in range(1, steps + 1):
@@ -214,28 +195,23 @@ def _greedy_sql(steps: int, pairs: str = INTRODUCED_SQL) -> str:
     return f"WITH {', '.join(parts)}, a AS (SELECT direct, count(*) AS affected FROM pairs GROUP BY direct) SELECT step, direct, CAST(affected AS BIGINT) AS affected, CAST(gain AS BIGINT) AS gain FROM ({rows}) JOIN a USING (direct)"
 
 
-@query(_greedy_sql(5))
-def greedy_plan(spark, sf):
-    return G.greedy_plan(introduced(spark, sf), 5)
-
-
 @query(f"""
-WITH {INTRODUCED_WHOLE_SQL}, own AS (SELECT id, count(*) AS k FROM pairs GROUP BY id)
+WITH {INTRODUCED_SQL}, own AS (SELECT id, count(*) AS k FROM pairs GROUP BY id)
 SELECT direct, CAST(count(*) AS BIGINT) AS affected, CAST(count(*) FILTER (WHERE k = 1) AS BIGINT) AS exclusive FROM pairs JOIN own USING (id) GROUP BY direct""")
 def introducers_whole(spark, sf):
-    return G.introducers(introduced(spark, sf, whole=True))
+    return G.introducers(introduced(spark, sf))
 
 
 @query(f"""
-WITH {INTRODUCED_WHOLE_SQL}, own AS (SELECT id, count(*) AS k, min(direct) AS direct FROM pairs GROUP BY id)
+WITH {INTRODUCED_SQL}, own AS (SELECT id, count(*) AS k, min(direct) AS direct FROM pairs GROUP BY id)
 SELECT direct, id FROM own WHERE k = 1""")
 def introducers_exclusive_whole(spark, sf):
-    return introduced(spark, sf, whole=True).groupBy("id").agg(F.count(F.lit(1)).alias("k"), F.min("direct").alias("direct")).where("k = 1").select("direct", "id")
+    return introduced(spark, sf).groupBy("id").agg(F.count(F.lit(1)).alias("k"), F.min("direct").alias("direct")).where("k = 1").select("direct", "id")
 
 
-@query(_greedy_sql(5, INTRODUCED_WHOLE_SQL))
+@query(_greedy_sql(5))
 def greedy_plan_whole(spark, sf):
-    return G.greedy_plan(introduced(spark, sf, whole=True), 5)
+    return G.greedy_plan(introduced(spark, sf), 5)
 
 
 @query(f"""

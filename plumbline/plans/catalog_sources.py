@@ -179,11 +179,6 @@ def version_facts(spark, sf):
     return registries.version_facts(rows).select("source_repo", "provenance", F.col("attested").cast("string").alias("attested"))
 
 
-@query("SELECT DISTINCT 'pkg:npm/' || CASE WHEN l_quantity >= 49 THEN 'a' ELSE 'root' END || l_orderkey % 5 AS from_id, 'pkg:npm/b' || l_partkey % 7 AS to_id FROM lineitem WHERE l_quantity >= 48")
-def merge_placements(spark, sf):
-    return _merged_placements(table(spark, sf, "lineitem").where("l_quantity >= 48"))
-
-
 @query("SELECT DISTINCT 'pkg:npm/' || CASE WHEN l_quantity >= 49 THEN 'a' ELSE 'root' END || l_orderkey % 5 AS from_id, 'pkg:npm/b' || l_partkey % 7 AS to_id FROM lineitem")
 def merge_placements_whole(spark, sf):
     return _merged_placements(table(spark, sf, "lineitem"))
@@ -198,13 +193,6 @@ def _merged_placements(rows):
     return R.merge_instances(tops.unionByName(kids), roots)[1].where("to_id LIKE '%/b%'").select("from_id", "to_id").distinct()
 
 
-@query("""
-WITH s AS (SELECT 'pkg:generic/buildfile/workflow@x#' || l_orderkey AS f, l_partkey AS t, min(l_linenumber) AS o FROM lineitem WHERE l_orderkey < 200 GROUP BY 1, 2)
-SELECT substr(f, 34) AS file, CAST(row_number() OVER (PARTITION BY f ORDER BY o, t) AS INTEGER) AS step, t AS to_id FROM s""")
-def formulation_steps(spark, sf):
-    return _formulation(table(spark, sf, "lineitem").where("l_orderkey < 200"))
-
-
 @query("""
 WITH s AS (SELECT 'pkg:generic/buildfile/workflow@x#' || l_orderkey AS f, l_partkey AS t, min(l_linenumber) AS o FROM lineitem GROUP BY 1, 2)
 SELECT substr(f, 34) AS file, CAST(row_number() OVER (PARTITION BY f ORDER BY o, t) AS INTEGER) AS step, t AS to_id FROM s""")
