@@ -16,6 +16,8 @@ Scoring reads each whole text once and shuffles nothing.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -201,8 +203,12 @@ def fitted(rows: DataFrame, fit_one):
     executor, so that the driver only gets the model."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = fit_one(*_arrays(pa.Table.from_batches(list(batches), _SAMPLED)))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+        model = pickle.dumps(fit_one(*_arrays(pa.Table.from_batches(list(batches), _SAMPLED))))
+        # workers live on, so what the fit took goes back to the system
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not on every system
+            ctypes.CDLL(None).malloc_trim(0)
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
 
     return pickle.loads(rows.repartition(1).mapInArrow(run, "model binary").first()["model"])
 
