@@ -68,7 +68,7 @@ def test_query_agrees_with_sql(spark, name):
     con = duckdb.connect()
     for f in os.listdir(DATA):
         con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{DATA}/{f}'")
-    want = con.execute(queries.ORACLE[name]).fetch_arrow_table()
+    want = con.execute(queries.ORACLE[name]).to_arrow_table()
     got = queries.QUERIES[name](spark, DATA)
     assert sorted(got.columns) == sorted(want.column_names)
     columns = sorted(got.columns)
