@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions.versions import satisfies, version_columns, with_compiled
+from plumbline.operators.workspace import by_key
 
 MOST_VERSIONS = 25
 
@@ -42,7 +43,7 @@ def enumerate_versions(requirements: DataFrame, registry: DataFrame, mode: str =
     if mode not in ("will", "can"):
         raise ValueError(f"mode: {mode}")
     asks = with_compiled(requirements.select("ecosystem", "name", "spec").distinct())
-    met = asks.join(parsed_versions(registry), ["ecosystem", "name"]).where(satisfies(F.col("parsed"), F.col("compiled")))
+    met = asks.join(by_key(parsed_versions(registry)), ["ecosystem", "name"]).where(satisfies(F.col("parsed"), F.col("compiled")))
     req = ["ecosystem", "name", "spec"]
     if mode == "will":
         # the newest of each, by partial aggregation: no range's versions meet in a window
@@ -54,14 +55,14 @@ def enumerate_versions(requirements: DataFrame, registry: DataFrame, mode: str =
         picked = best.select(*req, chosen.getField("version").alias("version"), F.lit(1).alias("place"))
         # a Go requirement is its own lower bound, listed or not
         own = asks.where("ecosystem = 'golang' AND compiled.ok").select(*req, version_columns(F.lit("golang"), F.regexp_replace("spec", r"^\s*>=?\s*", "")).getField("canonical").alias("version"), F.lit(1).alias("place"))
-        return requirements.join(picked.unionByName(own), req)
+        return requirements.join(by_key(picked.unionByName(own)), req)
     stable = F.bool_or(~F.col("parsed.is_pre")).over(Window.partitionBy(*req))
     met = met.withColumn("__stable", stable)
     met = met.where((F.col("ecosystem") != "pypi") | F.col("compiled.mentions_pre") | ~F.col("__stable") | ~F.col("parsed.is_pre"))
     rank = F.row_number().over(Window.partitionBy(*req).orderBy(F.desc("parsed.key"), F.desc("version")))
     met = met.withColumn("place", rank).where(F.col("place") <= most)
     picked = met.select(*req, F.when(F.col("ecosystem") == "golang", F.col("parsed.canonical")).otherwise(F.col("version")).alias("version"), "place")
-    return requirements.join(picked, req)
+    return requirements.join(by_key(picked), req)
 
 
 def apply_pins(requirements: DataFrame, picked: DataFrame, pins: DataFrame, registry: DataFrame) -> DataFrame:
@@ -69,7 +70,7 @@ def apply_pins(requirements: DataFrame, picked: DataFrame, pins: DataFrame, regi
     picked; a pin the registry does not list stays, with a reason."""
     keyed = pins.select("ecosystem", "name", F.col("version").alias("__pin"))
     listed = registry.select("ecosystem", "name", F.col("version").alias("__pin")).distinct().withColumn("__listed", F.lit(True))
-    pinned = requirements.join(keyed, ["ecosystem", "name"]).join(listed, ["ecosystem", "name", "__pin"], "left")
+    pinned = requirements.join(by_key(keyed), ["ecosystem", "name"]).join(by_key(listed), ["ecosystem", "name", "__pin"], "left")
     over = pinned.withColumns({"version": F.col("__pin"), "place": F.lit(1), "reason": F.when(F.col("__listed").isNull(), "error:pin-not-found")}).drop("__pin", "__listed")
-    rest = picked.join(keyed.select("ecosystem", "name"), ["ecosystem", "name"], "left_anti").withColumn("reason", F.lit(None).cast("string"))
+    rest = picked.join(by_key(keyed.select("ecosystem", "name")), ["ecosystem", "name"], "left_anti").withColumn("reason", F.lit(None).cast("string"))
     return over.unionByName(rest)

@@ -38,3 +38,9 @@ def test_query_agrees_with_sql(spark, duck, name):
     got, want = catalog.QUERIES[name](spark, DATA).toPandas(), duck.execute(catalog.ORACLE[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+def test_pins_never_broadcast_the_registry(spark):
+    plan = catalog.QUERIES["pin_override"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "MergeJoin" in plan
+    assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "name#" in line]
