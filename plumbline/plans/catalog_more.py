@@ -274,7 +274,7 @@ def bare_specs(spark, sf):
 
 # --- the closure walk -----------------------------------------------------------------
 # Part k has the versions 1.0.0, 1.1.0 and 2.0.0 and needs part k div 10, with ^1.0.0 if
-# k is even, else >=1.0.0. The root needs the parts of the largest size.
+# k is even, else >=1.0.0. The root needs the parts of the largest size. Walks are whole: no bound on nodes.
 
 WALK_SQL = """WITH RECURSIVE n(k, v) AS (
   SELECT p_partkey, v FROM part, (SELECT unnest({root}) AS v) WHERE p_size = 50
@@ -300,19 +300,19 @@ def walked(spark, sf, bounds, pins=None):
 @query(WALK_SQL.format(root="['1.1.0']", even="['1.1.0']", odd="['2.0.0']"))
 def walk_will(spark, sf):
     """What an install would take: one version for each requirement."""
-    return walked(spark, sf, Bounds())
+    return walked(spark, sf, Bounds(max_nodes=None))
 
 
 @query(WALK_SQL.format(root="['1.0.0', '1.1.0']", even="['1.0.0', '1.1.0']", odd="['1.0.0', '1.1.0', '2.0.0']"))
 def walk_can(spark, sf):
     """Every version that the requirements allow."""
-    return walked(spark, sf, Bounds(mode="can"))
+    return walked(spark, sf, Bounds(mode="can", max_nodes=None))
 
 
 @query(WALK_SQL.format(root="['1.0.0']", even="['1.0.0']", odd="['1.0.0']"))
 def walk_as_of(spark, sf):
     """The closure as an install of mid-2020 would have found it."""
-    return walked(spark, sf, Bounds(as_of=datetime(2020, 6, 1)))
+    return walked(spark, sf, Bounds(as_of=datetime(2020, 6, 1), max_nodes=None))
 
 
 @query("""WITH RECURSIVE n(k, v) AS (
@@ -323,7 +323,7 @@ SELECT DISTINCT 'pkg:npm/p' || k || '@' || v AS id, 'resolved' AS completeness F
 def walk_pins(spark, sf):
     """The closure under a lockfile that pins every fourth part."""
     pins = table(spark, sf, "part").where("p_partkey % 4 = 0").select(F.lit("npm").alias("ecosystem"), F.concat(F.lit("p"), "p_partkey").alias("name"), F.lit("1.0.0").alias("version"))
-    return walked(spark, sf, Bounds(), pins)
+    return walked(spark, sf, Bounds(max_nodes=None), pins)
 
 
 # --- components on a whole cyclic graph ---------------------------------------------------

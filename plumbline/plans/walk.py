@@ -19,16 +19,18 @@ from plumbline.functions import purl as P
 from plumbline.functions.versions import COMPILERS
 from plumbline.operators import enumerate as E
 from plumbline.operators.graph import upsert_nodes
-from plumbline.operators.workspace import cut
+from plumbline.operators.workspace import by_key, cut
 
 NODE = "id string, ecosystem string, name string, version string, completeness string, reason string, published_at timestamp, resolved_ref string, source string, note string, ord long"
+#: Most rows of a level that are sent to every part of a registry table.
+FEW = 50_000
 EDGE = "from_id string, to_id string, kind string, spec string, scope string, origin string"
 
 
 @dataclass(frozen=True)
 class Bounds:
     max_depth: int = 32
-    max_nodes: int = 50_000
+    max_nodes: int | None = 50_000  # None: the whole closure
     versions_per_range: int = 25
     mode: str = "will"  # or can
     as_of: datetime | None = None
@@ -82,10 +84,7 @@ def walk(nodes: DataFrame, edges: DataFrame, root: str, versions: DataFrame, req
     known = cut(_nodes(start).unionByName(known))
     concrete = cut(concrete)
     registry = cut(E.as_of(versions, bounds.as_of))
-    listed = registry.select("ecosystem", "name").distinct().withColumn("__listed", F.lit(True))
-    online = registry.select("ecosystem").distinct().withColumn("__online", F.lit(True))
-    undated = registry.where("undated").select("ecosystem", "name").distinct().withColumn("__undated", F.lit(True))
-    usable = registry.where("NOT undated").drop("undated")
+    online = cut(registry.select("ecosystem").distinct().withColumn("__online", F.lit(True)))
     hit: list[str] = []
     total, depth = known.count(), 0
     asks = cut(asks)
@@ -93,7 +92,7 @@ def walk(nodes: DataFrame, edges: DataFrame, root: str, versions: DataFrame, req
         stop = None
         if depth >= bounds.max_depth:
             stop = "bound:depth"
-        elif total >= bounds.max_nodes:
+        elif bounds.max_nodes is not None and total >= bounds.max_nodes:
             stop = "bound:nodes"
         elif bounds.seconds is not None and time.monotonic() - began > bounds.seconds:
             stop = "bound:timeout"
@@ -102,16 +101,21 @@ def walk(nodes: DataFrame, edges: DataFrame, root: str, versions: DataFrame, req
             new_nodes, new_edges = _left(asks, stop)
             known, concrete = cut(known.unionByName(new_nodes)), cut(concrete.unionByName(new_edges))
             break
-        fresh = asks.select("ecosystem", "name", "spec").distinct()
+        fresh = cut(asks.select("ecosystem", "name", "spec").distinct())
+        # of the registry only what this level asks for
+        near = cut(registry.join(_asked(fresh.select("ecosystem", "name").distinct()), ["ecosystem", "name"], "left_semi"))
+        listed = near.select("ecosystem", "name").distinct().withColumn("__listed", F.lit(True))
+        undated = near.where("undated").select("ecosystem", "name").distinct().withColumn("__undated", F.lit(True))
+        usable = near.where("NOT undated").drop("undated")
         picked = E.enumerate_versions(fresh, usable, bounds.mode, bounds.versions_per_range)
         if bounds.mode == "will" and pins is not None:
             picked = E.apply_pins(fresh, picked, pins, usable)
         else:
             picked = picked.withColumn("reason", F.lit(None).cast("string"))
-        picked = cut(picked.join(usable.select("ecosystem", "name", "version", "published_at"), ["ecosystem", "name", "version"], "left"))
+        picked = cut(picked.join(by_key(usable.select("ecosystem", "name", "version", "published_at")), ["ecosystem", "name", "version"], "left"))
         # nothing picked: say why
-        state = asks.join(listed, ["ecosystem", "name"], "left").join(online, "ecosystem", "left").join(undated, ["ecosystem", "name"], "left")
-        lost = state.join(picked.select("ecosystem", "name", "spec").distinct(), ["ecosystem", "name", "spec"], "left_anti")
+        state = asks.join(by_key(listed), ["ecosystem", "name"], "left").join(online, "ecosystem", "left").join(by_key(undated), ["ecosystem", "name"], "left")
+        lost = state.join(by_key(picked.select("ecosystem", "name", "spec").distinct()), ["ecosystem", "name", "spec"], "left_anti")
         why = (
             F.when(F.col("__online").isNull(), "offline")
             .when(F.col("__undated"), "error:undated")
@@ -119,13 +123,13 @@ def walk(nodes: DataFrame, edges: DataFrame, root: str, versions: DataFrame, req
             .otherwise("error:badrange")
         )
         lost_nodes, lost_edges = _left(lost.withColumn("why", why), None)
-        got = asks.join(picked, ["ecosystem", "name", "spec"])
+        got = asks.join(by_key(picked), ["ecosystem", "name", "spec"])
         target = P.purl("ecosystem", "name", "version")
         got = cut(got.withColumn("id", target))
-        met = got.select("id").distinct().join(known.select("id").distinct(), "id", "left_anti")
-        room = bounds.max_nodes - total
+        met = got.select("id").distinct().join(by_key(known.select("id").distinct()), "id", "left_anti")
+        room = None if bounds.max_nodes is None else bounds.max_nodes - total
         over = None
-        if met.limit(room + 1).count() > room:
+        if room is not None and met.limit(room + 1).count() > room:
             # the level reaches the bound: the smallest ids that still fit are expanded
             hit.append("bound:nodes")
             over = cut(met.join(met.orderBy("id").limit(room), "id", "left_anti").withColumn("__over", F.lit("bound:nodes")))
@@ -133,10 +137,11 @@ def walk(nodes: DataFrame, edges: DataFrame, root: str, versions: DataFrame, req
         new_nodes = got.select("id", "ecosystem", "name", "version", F.when(F.col("reason").isNull(), "resolved").otherwise("declared").alias("completeness"), "reason", "published_at", F.lit(depth + 1).cast("long").alias("ord")).dropDuplicates(["id"])
         new_edges = got.select("from_id", F.col("id").alias("to_id"), "kind", "spec", "scope", F.lit("declared").alias("origin"))
         # children of versions met for the first time
-        first = new_nodes.join(known.where("ord > 0").select("id"), "id", "left_anti")
+        first = new_nodes.join(by_key(known.where("ord > 0").select("id")), "id", "left_anti")
         if over is not None:
             first = first.join(over, "id", "left_anti")
-        kids = first.select("id", "ecosystem", "name", "version").join(requirements, ["ecosystem", "name", "version"])
+        first = cut(first.select("id", "ecosystem", "name", "version"))
+        kids = requirements.join(_asked(first), ["ecosystem", "name", "version"])
         kids = kids.select(F.col("id").alias("from_id"), "ecosystem", F.col("dep_name").alias("name"), "spec", "scope", F.lit("depends_on").alias("kind"))
         kids = cut(kids.withColumn("ask_id", P.purl("ecosystem", "name")))
         skipped_nodes, skipped_edges = _left(kids.where("scope = 'dev'"), "dev-not-installed")
@@ -145,10 +150,15 @@ def walk(nodes: DataFrame, edges: DataFrame, root: str, versions: DataFrame, req
         concrete = concrete.unionByName(cut(_edges(new_edges).unionByName(lost_edges).unionByName(skipped_edges).distinct()))
         asks = kids.where("scope <> 'dev'").distinct()
         depth += 1
-        total = known.select("id").distinct().count()
+        total = known.select("id").distinct().count() if bounds.max_nodes is not None else total
     return Closure(cut(upsert_nodes(known)), cut(concrete.distinct()), depth, hit)
 
 
+def _asked(rows: DataFrame) -> DataFrame:
+    """One side of a join with a registry table: sent to its rows if it is short."""
+    return F.broadcast(rows) if rows.limit(FEW + 1).count() <= FEW else by_key(rows)
+
+
 def _left(asks: DataFrame, reason: str | None) -> tuple[DataFrame, DataFrame]:
     """Requirements that are not followed, as frontier nodes with a reason."""
     why = F.lit(reason) if reason is not None else F.col("why")

@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline import catalog
 
@@ -44,3 +45,9 @@ def test_pins_never_broadcast_the_registry(spark):
     plan = catalog.QUERIES["pin_override"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "MergeJoin" in plan
     assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "name#" in line]
+
+
+def test_walks_are_not_cut_at_a_number_of_nodes(spark, tmp_path):
+    spark.range(50_100).select(F.col("id").alias("p_partkey"), F.lit(50).alias("p_size")).write.parquet(f"{tmp_path}/part.parquet")
+    got = catalog.QUERIES["walk_as_of"](spark, str(tmp_path)).groupBy("completeness").count().collect()
+    assert [tuple(r) for r in got] == [("resolved", 50_100)]
