@@ -119,41 +119,99 @@ def paths_to(edges: DataFrame, root: str, target: str, k: int, max_length: int =
 
 
 def scc(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """``id, component``: strongly connected components by forward colouring.
+    """``id, component``: strongly connected components, named by their smallest ids.
 
-    Each round every live node takes the smallest id that reaches it; inside a
-    colour, what reaches the colour's own node is its component, and leaves.
-    Distributed; ``component`` is the smallest id of the component's colour root.
+    Chains go first: a node with one edge in and one out is in the component of its
+    chain's two ends if they share one, else alone; so a chain becomes one edge, in
+    rounds logarithmic in its length. Then each round, by forward colouring, every
+    live node takes the smallest id that reaches it; inside a colour, what reaches
+    the colour's own node is its component, and leaves.
     """
     live = cut(nodes.select("id").distinct())
-    pairs = cut(edges.select("from_id", "to_id").distinct().where("from_id <> to_id"))
-    done = None
+    pairs = edges.select("from_id", "to_id").distinct().where("from_id <> to_id")
+    pairs = cut(pairs.join(live.select(F.col("id").alias("from_id")), "from_id", "left_semi").join(live.select(F.col("id").alias("to_id")), "to_id", "left_semi"))
+    done, chained = None, []
+    for _ in rounds(max_rounds):
+        size = live.count()
+        alone, ringed, inner, live, pairs = _chains(live, pairs, max_rounds)
+        done = alone.unionByName(ringed) if done is None else done.unionByName(alone).unionByName(ringed)
+        chained.append(inner)
+        if live.isEmpty() or live.count() * 2 > size:
+            break
     for _ in rounds(max_rounds):
         if live.isEmpty():
             break
-        colour = cut(live.withColumn("c", F.col("id")))
-        for _ in rounds(max_rounds):
-            pushed = pairs.join(colour, pairs["from_id"] == colour["id"]).groupBy(F.col("to_id").alias("id")).agg(F.min("c").alias("p"))
-            after = colour.join(pushed, "id", "left").select("id", F.least("c", F.coalesce("p", "c")).alias("c"), (F.col("p") < F.col("c")).alias("moved"))
-            after = cut(after)
-            moved = after.where("moved").limit(1).count()
-            colour = after.select("id", "c")
-            if not moved:
-                break
+        colour = _least_reaching(live, pairs, max_rounds)
         inside = (
             pairs.join(colour.select(F.col("id").alias("from_id"), F.col("c").alias("cf")), "from_id")
             .join(colour.select(F.col("id").alias("to_id"), F.col("c").alias("ct")), "to_id")
             .where("cf = ct")
             .select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"))
         )
-        back = reachable(inside, colour.where("id = c").select(F.col("c").alias("source"), "id"))
-        members = cut(back.select("id", F.col("source").alias("component")))
-        done = members if done is None else done.unionByName(members)
+        # a colour's own node is its smallest: what reaches it reaches no smaller one inside
+        back = _least_reaching(live, cut(inside), max_rounds).withColumnRenamed("c", "component")
+        members = cut(back.join(colour, "id").where("component = c").select("id", "component"))
+        done = done.unionByName(members)
         live = cut(live.join(members, "id", "left_anti"))
         pairs = cut(pairs.join(live.select(F.col("id").alias("from_id")), "from_id", "left_semi").join(live.select(F.col("id").alias("to_id")), "to_id", "left_semi"))
-    if done is None:
-        return nodes.select("id", F.col("id").alias("component")).limit(0)
-    return done
+    # chains go back in, the last taken out first; their members may be smaller than their ends
+    for inner in reversed(chained):
+        done = cut(done)
+        start, end = (done.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")) for c in ("start", "end"))
+        put = inner.join(start, "start").join(end, "end")
+        done = done.unionByName(put.select("id", F.when(F.col("cstart") == F.col("cend"), F.col("cstart")).otherwise(F.col("id")).alias("component")))
+    done = cut(done)
+    least = done.groupBy("component").agg(F.min("id").alias("least"))
+    return done.join(least, "component").select("id", F.col("least").alias("component"))
+
+
+def _chains(live: DataFrame, pairs: DataFrame, max_rounds: int) -> tuple[DataFrame, ...]:
+    """Takes out nodes with one edge in and one out, and nodes without either.
+
+    Returns ``id, component`` of the nodes that are alone and of rings of such nodes;
+    ``id, start, end`` of the nodes between two others; and the nodes and edges left.
+    """
+    out = pairs.groupBy(F.col("from_id").alias("id")).agg(F.count(F.lit(1)).alias("outs"), F.min("to_id").alias("after"))
+    into = pairs.groupBy(F.col("to_id").alias("id")).agg(F.count(F.lit(1)).alias("ins"), F.min("from_id").alias("before"))
+    degrees = cut(live.join(out, "id", "left").join(into, "id", "left"))
+    alone = degrees.where("outs IS NULL OR ins IS NULL")
+    links = cut(degrees.where("outs = 1 AND ins = 1").select("id", F.col("after").alias("end"), F.col("before").alias("start"), F.col("id").alias("least")))
+    total, seen = links.count(), 1
+    # each round doubles the way a node has looked along its chain, both ways
+    for _ in rounds(max_rounds):
+        onward = links.select(F.col("id").alias("end"), F.col("end").alias("__end"), F.col("least").alias("__least"))
+        back = links.select(F.col("id").alias("start"), F.col("start").alias("__start"))
+        step = links.join(onward, "end", "left").join(back, "start", "left")
+        links = cut(step.select("id", F.coalesce("__end", "end").alias("end"), F.coalesce("__start", "start").alias("start"), F.least("least", F.coalesce("__least", "least")).alias("least")))
+        seen *= 2
+        if seen > total or links.join(links.select(F.col("id").alias("end")), "end", "left_semi").isEmpty():
+            break
+    # what has not met an end in as many steps as there are nodes is on a ring
+    ring = links.join(links.select(F.col("id").alias("end")), "end", "left_semi").select("id", F.col("least").alias("component"))
+    ring = cut(ring)
+    inner = cut(links.join(ring, "id", "left_anti").select("id", "start", "end"))
+    gone = links.select("id").unionByName(alone.select("id"))
+    live = cut(live.join(gone, "id", "left_anti"))
+    # an end that is alone now leaves with its edges; both ends of a chain keep its place
+    ends = pairs.unionByName(inner.select(F.col("start").alias("from_id"), F.col("end").alias("to_id"))).where("from_id <> to_id").distinct()
+    pairs = cut(ends.join(live.select(F.col("id").alias("from_id")), "from_id", "left_semi").join(live.select(F.col("id").alias("to_id")), "to_id", "left_semi"))
+    return alone.select("id", F.col("id").alias("component")), ring, inner, live, pairs
+
+
+def _least_reaching(live: DataFrame, pairs: DataFrame, max_rounds: int) -> DataFrame:
+    """``id, c``: the smallest id that reaches each node, itself included. What reaches
+    the smallest found so far reaches the node too, so finds are passed on in leaps."""
+    colour = cut(live.withColumn("c", F.col("id")))
+    for _ in rounds(max_rounds):
+        pushed = pairs.join(colour, pairs["from_id"] == colour["id"]).groupBy(F.col("to_id").alias("id")).agg(F.min("c").alias("p"))
+        leapt = colour.select(F.col("id").alias("c"), F.col("c").alias("l"))
+        after = colour.join(pushed, "id", "left").join(leapt, "c", "left")
+        after = cut(after.select("id", F.least("c", F.coalesce("p", "c"), F.coalesce("l", "c")).alias("least"), "c"))
+        moved = after.where("least < c").limit(1).count()
+        colour = after.select("id", F.col("least").alias("c"))
+        if not moved:
+            break
+    return colour
 
 
 def path_counts(nodes: DataFrame, edges: DataFrame, root: str, cap: int = PATH_CAP, components: DataFrame | None = None, max_rounds: int = 10_000) -> DataFrame:

@@ -93,3 +93,13 @@ def test_whole_queries_leave_no_order_out(spark, tmp_path):
     assert {(r["file"], r["step"], r["to_id"]) for r in got} == {(str(o), 1, p) for o, _, p, _ in lines}
     got = catalog.QUERIES["merge_placements_whole"](spark, str(tmp_path)).collect()
     assert {(r["from_id"], r["to_id"]) for r in got} == {(f"pkg:npm/{'a' if q >= 49 else 'root'}{o % 5}", f"pkg:npm/b{p % 7}") for o, _, p, q in lines}
+
+
+def test_components_of_long_rings_take_few_rounds(spark):
+    ring = lambda first: [(f"{first + i:03d}", f"{first + (i + 1) % 100:03d}") for i in range(100)]
+    pairs = ring(0) + ring(100) + ring(200) + [("050", "150"), ("150", "400"), ("400", "401"), ("401", "150")]
+    out = {}
+    for a, b in pairs:
+        out.setdefault(a, []).append(b)
+    names = sorted({n for pair in pairs for n in pair})
+    assert as_dict(G.scc(ids(spark, *names), edges(spark, *pairs), max_rounds=12), v="component") == G._components(names, out)
