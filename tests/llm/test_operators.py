@@ -528,6 +528,51 @@ def test_line_dedup_against_brute_force(spark):
     assert line_dedup.deduplicate_lines(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_loses_no_link(spark):
+    rng = random.Random(31)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda n: "".join(rng.choice(letters) for _ in range(n))
+
+    def typed(line, edits):
+        for _ in range(edits):
+            at = rng.randrange(len(line))
+            line = line[:at] + rng.choice([letters[at % 26], "", " ", line[at] + "x"]) + line[at + 1 :]
+        return " ".join(line.split())
+
+    lines = []
+    for n in (1, 1, 2, 2, 3, 3, 4, 5, 6, 9, 15, 25, 70, 110):
+        for size in (3, 6, 11):
+            line = " ".join(word(size) for _ in range(n))
+            lines.append(line)
+            for _ in range(4):
+                parts = line.split()
+                for at in rng.sample(range(n), min(n, max(2, n // 5))):
+                    parts[at] = rng.choice([typed(parts[at], 1), word(size), f"{parts[at]} {word(2)}"])
+                lines.append(" ".join(parts))
+            if n < 5:
+                lines += [typed(line, 1 + len(line) // 12) for _ in range(3)]
+    lines += ["ab " * 30 + word(4), "ab " * 27 + word(4) + " cd", "ab " * 26 + "cd ef " + word(5)]  # few pairs, few words
+    family = [word(4) for _ in range(20)]
+    for _ in range(3 * line_dedup.NEAR):  # a key of more lines than are compared at once, linked in part
+        parts = list(family)
+        for at in rng.sample(range(20), 3):
+            parts[at] = word(4)
+        lines.append(" ".join(parts))
+    distinct = sorted({" ".join(x.split()) for x in lines if x.split()})
+    rng.shuffle(distinct)
+    linked = [
+        (a, b)
+        for a, b in itertools.combinations(distinct, 2)
+        if 0.8 * max(len(a), len(b)) <= min(len(a), len(b)) + 1e-9 and edit_distance(a.split(), b.split()) <= max(2, min(len(a.split()), len(b.split())) // 5) and edit_distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9)
+    ]
+    group = smallest_reachable(distinct, linked)
+    kept = {}
+    for x in distinct:
+        kept.setdefault(group[x], x)
+    got = line_dedup.deduplicate_lines(frame(spark, [(1, "\n".join(distinct))])).first()["text"].split("\n")
+    assert got == [x for x in distinct if kept[group[x]] == x]
+
+
 def test_very_long_lines_are_decided_by_their_words(spark):
     rng = random.Random(23)
     line = [f"v{rng.randrange(10**6)}" for _ in range(1500)]
