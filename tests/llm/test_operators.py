@@ -573,6 +573,33 @@ def test_line_dedup_loses_no_link(spark):
     assert got == [x for x in distinct if kept[group[x]] == x]
 
 
+def test_a_family_of_lines_is_not_compared_pair_by_pair(spark, monkeypatch):
+    rng = random.Random(41)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5))
+    family, lines = [word() for _ in range(20)], []
+    for _ in range(240):  # linked where their changes meet
+        parts = list(family)
+        for at in rng.sample(range(20), 3):
+            parts[at] = word()
+        lines.append(" ".join(parts))
+    linked = [(a, b) for a, b in itertools.combinations(lines, 2) if sum(x != y for x, y in zip(a.split(), b.split(), strict=True)) <= 4 and edit_distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9)]
+    group = smallest_reachable(sorted(lines), linked)
+    kept = {}
+    for x in lines:
+        kept.setdefault(group[x], x)
+    compared, verified = [], line_dedup._verified
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(line_dedup, "_verified", counted)
+    monkeypatch.setattr(line_dedup, "FEW", 0, raising=False)
+    got = line_dedup.deduplicate_lines(frame(spark, [(1, "\n".join(lines))])).first()["text"].split("\n")
+    assert got == list(kept.values())
+    assert sum(compared) < 5 * len(lines) < len(linked), compared
+
+
 def test_very_long_lines_are_decided_by_their_words(spark):
     rng = random.Random(23)
     line = [f"v{rng.randrange(10**6)}" for _ in range(1500)]
