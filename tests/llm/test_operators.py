@@ -1,6 +1,7 @@
 """Each training-data operator against a brute-force version, with odd inputs."""
 
 import collections
+import functools
 import itertools
 import math
 import random
@@ -600,6 +601,39 @@ def test_a_family_of_lines_is_not_compared_pair_by_pair(spark, monkeypatch):
     assert sum(compared) < 5 * len(lines) < len(linked), compared
 
 
+def test_links_of_later_rounds_join_no_other_lines(spark, monkeypatch):
+    line = [f"word{x}" for x in "abcdefghij"]
+    norms = {1: line, 3: [*line[:9], "other"], 2: line[::-1], 4: [*line[5:], *line[:5]]}
+    texts = spark.createDataFrame([(h, " ".join(w)) for h, w in norms.items()], "h long, norm string")
+    texts = texts.select("h", "norm", line_dedup._marks(F.split("norm", " ")).alias("marks"), F.lit(5).alias("longest"))
+    rows = [(1, 2, 1, 1, 2), (3, 4, 1, 3, 4), (1, 3, 2, 1, 3)]  # what links is the nearest of neither
+    pairs = common.materialise(spark.createDataFrame(rows, "a long, b long, d int, ca long, cb long"))
+    monkeypatch.setattr(line_dedup, "FEW", 0)
+    found = line_dedup._spanning(pairs, texts, 0.8)
+    assert len(found) > 1
+    assert [tuple(r) for r in functools.reduce(lambda x, y: x.union(y), found).select("a", "b").collect()] == [(1, 3)]
+
+
+def test_lines_of_repeated_words_are_told_apart_before_texts_are_read(spark, monkeypatch):
+    rng = random.Random(47)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    shared, lines = [word() for _ in range(2)], []
+    for _ in range(60):  # an even number of each word: parities of the words alone are zero
+        lines.append(" ".join(x for w in [word() for _ in range(20)] for x in [w] * 6) + " " + " ".join(shared * 4))
+    near = lines[0].split()
+    near[3:5] = [word(), word()]
+    compared, verified = [], line_dedup._verified
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(line_dedup, "_verified", counted)
+    got = line_dedup.deduplicate_lines(frame(spark, [(1, "\n".join([*lines, " ".join(near)]))])).first()["text"].split("\n")
+    assert got == lines
+    assert sum(compared) < 60, compared
+
+
 def test_very_long_lines_are_decided_by_their_words(spark):
     rng = random.Random(23)
     line = [f"v{rng.randrange(10**6)}" for _ in range(1500)]
